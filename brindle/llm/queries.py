@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm.chat import OP5_SQL, op5_chat_formatting
+from brindle.llm.embeddings import op3_embedding_near_duplicates
+from brindle.llm.packing import op7_best_fit_packing
 from brindle.llm.sharding import op6_balanced_sharding
+from brindle.llm.simhash import op8_simhash_near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_balanced_sharding": op6_balanced_sharding,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_formatting": OP5_SQL,
+}
