@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.chat import OP5_SQL, op5_chat_formatting
+from brindle.llm.decontamination import op1_spaced_seed_decontamination
 from brindle.llm.embeddings import op3_embedding_near_duplicates
 from brindle.llm.packing import op7_best_fit_packing
+from brindle.llm.quality import op9_passage_attention_quality
 from brindle.llm.sharding import op6_balanced_sharding
 from brindle.llm.simhash import op8_simhash_near_duplicates
+from brindle.llm.toxicity import op4_subword_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
+    "op4_subword_toxicity": op4_subword_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_balanced_sharding": op6_balanced_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
+    "op9_passage_attention_quality": op9_passage_attention_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
