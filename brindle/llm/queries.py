@@ -13,10 +13,12 @@ from brindle.llm.packing import op7_best_fit_packing
 from brindle.llm.quality import op9_passage_attention_quality
 from brindle.llm.sharding import op6_balanced_sharding
 from brindle.llm.simhash import op8_simhash_near_duplicates
+from brindle.llm.suffixes import op2_suffix_array_dedup
 from brindle.llm.toxicity import op4_subword_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
     "op4_subword_toxicity": op4_subword_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
