@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.chat import OP5_SQL, op5_chat_formatting
+from brindle.llm.debruijn import op10_debruijn_substring_dedup
 from brindle.llm.decontamination import op1_spaced_seed_decontamination
 from brindle.llm.embeddings import op3_embedding_near_duplicates
 from brindle.llm.packing import op7_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_passage_attention_quality": op9_passage_attention_quality,
+    "op10_debruijn_substring_dedup": op10_debruijn_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
