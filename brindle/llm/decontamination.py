@@ -162,5 +162,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
     return found
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, all their columns, that overlap with no item."""
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+    for items in blocks_of(benchmark, block_chars):
+        shared = sc.broadcast(Block(items))
+
+        def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = pa.record_batch([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["doc_id", "text"])
+                hit = np.zeros(batch.num_rows, bool)
+                for found in search_batches(iter([rows]), shared.value):
+                    hit[found.column(0).to_numpy()] = True
+                yield batch.filter(pa.array(~hit))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs
+
+
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

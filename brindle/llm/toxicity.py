@@ -166,6 +166,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(lambda x: score_batches(x, shared.value), "doc_id long, held_out boolean, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all their columns, that score under ``threshold``."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.record_batch([pa.nulls(batch.num_rows), batch.column(at), pa.nulls(batch.num_rows)], names=["doc_id", "text", "held_out"])
+            for scores in score_batches(iter([numbered]), shared.value):
+                yield batch.filter(pa.array(scores.column(2).to_numpy() < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return scored(docs, fit(docs, labels)).selectExpr("doc_id", "held_out", "score", "int(score >= 0.5) AS predicted")
