@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, shuffle_partitions, table
+from brindle.llm.common import shuffle_partitions, table
 from brindle.llm.windows import KEY, OPEN, Units, judged, place, powers, prefix_hashes, send_open, tagged, with_places
 
 WINDOW = 50
@@ -123,16 +123,25 @@ def covered_windows(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, pieces: l
     return out
 
 
-def compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, at, covered) of the pieces of which some windows are covered."""
+def compare_batches(batches: Iterator[pa.RecordBatch], most: int = 16_384) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, at, covered) of the pieces of which some windows are covered.
+
+    Whole grams are compared at a time, about ``most`` pieces, or one gram's if those are more.
+    """
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     t = pa.Table.from_batches(held)
-    gram, doc, at = (t.column(c).to_numpy() for c in ("gram", "doc_id", "at"))
-    bits = covered_windows(gram, doc, at, t.column("piece").to_pylist())
-    keep = bits != 0
-    yield pa.record_batch([pa.array(doc[keep]), pa.array(t.column("tag").to_numpy()[keep]), pa.array(at[keep]), pa.array(bits[keep])], names=["doc_id", "tag", "at", "covered"])
+    order = np.argsort(t.column("gram").to_numpy(), kind="stable")
+    gram = t.column("gram").to_numpy()[order]
+    heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    cuts = np.unique(np.append(heads[np.searchsorted(heads, np.arange(0, len(gram), most), "right") - 1], len(gram)))
+    for i, j in zip(cuts, cuts[1:]):
+        part = t.take(pa.array(order[i:j]))
+        doc, at = (part.column(c).to_numpy() for c in ("doc_id", "at"))
+        bits = covered_windows(gram[i:j], doc, at, part.column("piece").to_pylist())
+        keep = bits != 0
+        yield pa.record_batch([pa.array(doc[keep]), pa.array(part.column("tag").to_numpy()[keep]), pa.array(at[keep]), pa.array(bits[keep])], names=["doc_id", "tag", "at", "covered"])
 
 
 def removed_mask(n: int, ats: list[int] | None, open_ats: list[int] | None, bits: list[int] | None, window: int) -> np.ndarray:
@@ -195,13 +204,17 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated strings cut out of ``text``, only whole characters."""
-    kept = repeats(docs).mapInArrow(clean_batches, "doc_id long, tag int, kept binary").distinct()
+    """docs with the repeated strings cut out of ``text``, only whole characters; n_chars, if there, follows."""
+    kept = repeats(docs.where("doc_id is not null")).mapInArrow(clean_batches, "doc_id long, tag int, kept binary").dropDuplicates(KEY)
     kept = kept.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("kept").cast("string").alias("_kept"))
+    rest = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    left = docs.withColumn("_own", F.hash(text))
-    out = left.join(kept, left["doc_id"].eqNullSafe(kept["_doc"]) & (F.col("_own") == F.col("_tag")), "left")
-    return out.select(*[F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    left = docs.where("doc_id is not null").select(F.struct(*rest).alias("_rest"), F.hash(text).alias("_own"), F.col("text").isNull().alias("_null"))
+    out = left.join(kept, (F.col("_rest.doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_tag")))
+    cut = {c: F.col(f"_rest.{c}") for c in rest} | {"text": F.when(~F.col("_null"), F.col("_kept"))}
+    if "n_chars" in rest:
+        cut["n_chars"] = F.coalesce(F.length("_kept"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[cut[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,8 @@ def packed(cols: dict[str, np.ndarray], docs: np.ndarray, tags: np.ndarray, doc_
     return zstandard.compress(b"".join(parts), 1)
 
 
-def unpacked(data: bytes) -> dict[str, np.ndarray]:
+def unpacked(data: bytes, only: str | None = None) -> dict[str, np.ndarray]:
+    """The columns, or the first one alone."""
     import zstandard
 
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
@@ -145,6 +146,9 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
         out = out.view(np.int64)[:, 0]
         return out.astype(np.int32).astype(np.int64) if signed else out
 
+    if only:
+        at += docs * 16
+        return {only: take(n, dict(WIDTHS)[only])}
     doc, tag, runs = take(docs, 8), take(docs, 4, True), take(docs, 4)
     out = {c: take(n, w) for c, w in WIDTHS}
     return out | {"doc": np.repeat(doc, runs), "tag": np.repeat(tag, runs)}
@@ -192,19 +196,21 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], spec: Units, buckets: list[int
 
 def judge_pieces(batches: Iterator[pa.RecordBatch], within: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, tag, at, path) of the pieces that are covered or open; ``at`` packs place and kind."""
-    blobs = [unpacked(x) for batch in batches for x in batch.column(1).to_pylist()]
+    blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
     if not blobs:
         return
-    every = {c: np.concatenate([b[c] for b in blobs]) for c in blobs[0]}
-    del blobs
-    order = np.argsort(every["gram"], kind="stable")
-    gram = every["gram"][order]
-    same = gram[1:] == gram[:-1]
-    shared = np.zeros(len(gram), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    p = {c: x[order[shared]] for c, x in every.items()}
-    del every
+    gram = np.sort(np.concatenate([unpacked(x, only="gram")["gram"] for x in blobs]))
+    shared = np.unique(gram[1:][gram[1:] == gram[:-1]])
+    del gram
+    if not len(shared):
+        return
+    some = []
+    for i, x in enumerate(blobs):
+        cols, blobs[i] = unpacked(x), b""
+        near = np.minimum(np.searchsorted(shared, cols["gram"]), len(shared) - 1)
+        keep = shared[near] == cols["gram"]
+        some.append({c: v[keep] for c, v in cols.items()})
+    p = {c: np.concatenate([x.pop(c) for x in some]) for c in list(some[0])}
     p["shape"] = p["offset"] << 8 | p["windows"]
     order = np.lexsort((p["start"], p["doc"], p["shape"], p["text"], p["gram"]))
     p = {c: x[order] for c, x in p.items()}
