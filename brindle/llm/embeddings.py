@@ -31,7 +31,7 @@ from brindle.llm.common import components, materialize, shuffle_partitions, tabl
 
 THRESHOLD = 0.95
 #: The rotation is learned from at most so many distinct vectors.
-SAMPLE = 8192
+SAMPLE = 4096
 ROUNDS = 40
 TABLE_BITS = 16
 PROBES = 48
@@ -45,7 +45,7 @@ def learn_rotation(sample: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray
     """(mean, rotation) of unit vectors."""
     mean = sample.mean(0)
     centred = sample - mean
-    axes = np.linalg.svd(centred, full_matrices=True)[2].T
+    axes = np.linalg.eigh(centred.T @ centred)[1]
     start = np.linalg.qr(np.random.default_rng(7).normal(size=(axes.shape[1],) * 2))[0]
     projected, turn = centred @ axes, start
     for _ in range(rounds):
@@ -140,8 +140,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     digest = F.when(F.size("embedding") == dims, F.sha2(F.to_json("embedding"), 256))
     rows = materialize(rows.select("vec_id", digest.alias("digest"), F.when(digest.isNotNull(), F.col("embedding")).alias("embedding")), "digests")
     groups = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("gid"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "groups")
-    some = groups.orderBy(F.xxhash64("gid"), "gid").select("embedding").limit(sample).toPandas()["embedding"]  # bounded
-    unit = np.stack(some.to_list()).astype(np.float64)
+    some = groups.orderBy(F.xxhash64("gid"), "gid").select("embedding").limit(sample).collect()  # bounded
+    unit = np.array([r["embedding"] for r in some], np.float64)
     mean, rotation = learn_rotation(unit / np.linalg.norm(unit, axis=1, keepdims=True))
 
     probes = groups.select("gid", "embedding").mapInArrow(lambda x: probe_batches(x, mean, rotation), "key long, gid long, code long, own boolean")
