@@ -28,6 +28,8 @@ SAMPLE = (2000, 2000)
 PASSAGE_BYTES = 512
 HIDDEN, GATE = 24, 12
 EPOCHS, RATE, DECAY = 250, 0.01, 1e-4
+#: Texts that are encoded together.
+PART = 64
 #: Character classes of a byte; those of one class are alike to the encoder.
 CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t", "line": b"\n\r\x0b\x0c", "stop": b".", "comma": b",;:", "shout": b"!?", "sign": b"#$%&*+=@^~", "bar": b"|/\\_<>{}[]", "quote": b"\"'()`-"}
 KINDS = len(CLASSES) + 2
@@ -81,7 +83,9 @@ class Model:
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     if not len(labels) or labels.min() == labels.max():
         return Model({}, float(labels.mean()) if len(labels) else 0.0)
-    x, counts = encode(texts)
+    some = [encode(texts[i : i + PART]) for i in range(0, len(texts), PART)]
+    x, counts = (np.concatenate(c) for c in zip(*some))
+    del some
     first = np.cumsum(counts) - counts
     rng = np.random.default_rng(3)
     normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
