@@ -13,7 +13,8 @@ than a shard's share is treated as several, each of which may settle apart.
 Defined cases: a null text has size 1 and crc32 0, and links with no other
 document; an empty text is a text like any other and links with its equals.
 Repeated rows are rows of their own. An empty table gives an empty result.
-Extra columns of the input are ignored by the query and kept by ``shard``.
+Extra columns of the input are ignored by the query and kept by ``shard``, but
+for those named shard or slot, which give way.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def _propagate(linked: DataFrame, shards: int, share: int, rounds: int) -> DataF
 
 def shard(docs: DataFrame, key: Column, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``; documents of equal ``key`` (null: none) link."""
-    base = docs.withColumn("_key", key).withColumn("_uid", F.expr("uuid()"))
+    base = docs.select(F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("_row"), key.alias("_key"), F.expr("uuid()").alias("_uid"))
     base = materialize(base, "sharding")  # fixes the row ids
     rows = base.count()
     share = max(1, rows // shards)
@@ -93,7 +94,7 @@ def shard(docs: DataFrame, key: Column, shards: int = SHARDS, rounds: int = ROUN
         here = (F.col("_over") >= lo) & (F.col("_over") < hi)
         to, slot = F.when(here, F.lit(s)).otherwise(to), F.when(here, F.col("_over") - lo + at).otherwise(slot)
     over = over.select(*kept.columns[:-2], to.alias("shard"), slot.cast("long").alias("slot"))
-    return kept.unionByName(over).drop("label", "_rank", "_free", "_group", "_key", "_uid")
+    return kept.unionByName(over).select("_row.*", "shard", "slot")
 
 
 def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
