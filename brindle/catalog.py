@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from brindle.functions.expressions import macros, moment
 from brindle.operators import graph, mutate
-from brindle.operators.govern import Relations, violation
+from brindle.operators.govern import Relations, allowed, violation
+from brindle.operators.timeseries import rewind
 from brindle.plans.language import Statement, parse
+from brindle.streaming import interpolate
 
 BONDS = "source string, target string, label string, status string, created_at timestamp, expires_at timestamp, condition_side string, condition_field string, condition_value string, affinity double, confidence double, through string, cascade boolean"
 HISTORY = "event_id long, event_type string, event_time timestamp, source string, target string, label string"
@@ -76,7 +78,7 @@ class Workspace:
         self.context: dict[str, str] = {"role": "viewer"}
         empty = spark.createDataFrame
         self.state = State(bonds=empty([], BONDS), links=empty([], LINKS), history=empty([], HISTORY), audit=empty([], AUDIT))
-        self.rules, self.saved, self.branch, self.seq = Rules(), None, None, 0
+        self.rules, self.saved, self.branch, self.seq, self.depth = Rules(), None, None, 0, 0
 
     # -- buckets -----------------------------------------------------------
     def add(self, name: str, df: DataFrame, key: str, embedding: str | None = None) -> Workspace:
@@ -106,10 +108,32 @@ class Workspace:
         delta = self.state.deltas.get(self.branch or "", {}).get(name)
         return b if delta is None else replace(b, df=mutate.overlay(b.df, delta, b.key))
 
+    def tenant_rows(self, df: DataFrame) -> DataFrame:
+        """Only the session's tenant, where the bucket has a column of that name."""
+        tenant = self.context.get("tenant")
+        return df.where(F.col("tenant") == tenant) if tenant and "tenant" in df.columns else df
+
     def documents(self, name: str) -> DataFrame:
         """The bucket with its gid first."""
         b = self.bucket(name)
-        return b.df.select(graph.gid(name, b.key).alias("gid"), *b.df.columns)
+        return self.tenant_rows(b.df).select(graph.gid(name, b.key).alias("gid"), *b.df.columns)
+
+    def documents_at(self, name: str, moment_: dt.datetime) -> DataFrame:
+        """The bucket as it was, from its audit trail; documents without a trail are as they are now."""
+        b, log = self.bucket(name), self.state.audit.where(F.col("bucket") == name)
+        states = rewind(log, moment_)
+        now = b.df.join(states, graph.gid(name, b.key) == F.col("gid"), "left_anti")
+        then = states.where("state is not null").select(F.from_json("state", b.df.schema).alias("d")).select("d.*")
+        df = self.tenant_rows(now.unionByName(then))
+        return df.select(graph.gid(name, b.key).alias("gid"), *b.df.columns)
+
+    def check_write(self, name: str, rows: DataFrame) -> None:
+        """Every row must be admitted by some write policy, if there is one."""
+        policies = [cond for action, cond in self.rules.policies.get(name, {}).values() if action in ("write", "all")]
+        if policies:
+            own = rows.select(graph.gid(name, self.bucket(name).key).alias("gid"), *rows.columns)
+            if allowed(own, policies, self.context, self.relations()).count() < rows.count():
+                raise RejectedWrite(f"no policy of {name} allows this write")
 
     def all_gids(self) -> DataFrame:
         out = None
@@ -205,6 +229,7 @@ class Workspace:
             if c not in old.columns:
                 old = old.withColumn(c, F.lit(None).cast(new.schema[c].dataType))
         new = new.select(*[F.col(c).cast(old.schema[c].dataType).alias(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns])
+        self.check_write(name, new)
         out = mutate.upsert(old, new, b.key)
         most = self.rules.options.get(name, {}).get("max_docs")
         if most and name in self.rules.eviction and "_touched_at" in out.columns:
@@ -212,8 +237,20 @@ class Workspace:
         if old.columns != b.df.columns:
             self.state.buckets[name] = replace(self.state.buckets[name], df=old)
         self.bind(name, out, "POUR")
+        for d in documents:
+            self.fire("POUR", name, d)
         return self.report(bucket=name, poured=len(documents))
 
+    def fire(self, action: str, name: str, document: dict) -> None:
+        """Run the statements that a change triggers, at most five deep."""
+        for rule in self.rules.listed:
+            if rule["kind"] == "trigger" and (rule["action"], rule["bucket"]) == (action, name) and self.depth < 5:
+                self.depth += 1
+                try:
+                    self.run(interpolate(rule["template"], document))
+                finally:
+                    self.depth -= 1
+
     def do_change(self, s: Statement) -> DataFrame:
         b = self.bucket(s.bucket)
         values = {}
@@ -224,6 +261,7 @@ class Workspace:
             elif isinstance(v, (dict, list)):
                 v = json.dumps(v)
             values[f] = F.lit(v)
+        self.check_write(s.bucket, b.df.where(F.col(b.key).cast("string") == s.key))
         self.bind(s.bucket, mutate.change(b.df, F.col(b.key).cast("string") == s.key, values), "CHANGE")
         return self.report(bucket=s.bucket, changed=s.key)
 
@@ -247,6 +285,9 @@ class Workspace:
         old = self.state.rubbish.get(s.bucket)
         self.state.rubbish[s.bucket] = gone if old is None else old.unionByName(gone, allowMissingColumns=True)
         self.bind(s.bucket, kept, "DRAIN")
+        if any(r["kind"] == "trigger" and r["bucket"] == s.bucket and r["action"] == "DRAIN" for r in self.rules.listed):
+            for row in gone.toLocalIterator():
+                self.fire("DRAIN", s.bucket, row.asDict())
         for side in ("source", "target"):
             self.state.bonds = self.state.bonds.join(gids.withColumnRenamed("gid", side), side, "left_anti").select(*self.state.bonds.columns)
         return self.report(bucket=s.bucket, drained=gone.count())

@@ -51,6 +51,8 @@ def visible(w: Workspace, name: str) -> DataFrame:
 
 def run_find(w: Workspace, s: Statement) -> DataFrame:
     bucket, df = base_of(w, s.bucket)
+    if s.get("at") is not None and bucket == s.bucket:
+        df = w.documents_at(bucket, moment(s.at, w.clock()))
     own = df.columns
     order: list[Column] = []
     if s.get("mentioning"):

@@ -244,3 +244,26 @@ def test_late_bonds_stream(spark, tmp_path):
     out = late_bonds(file_stream(spark, str(tmp_path / "b"), b, 10), file_stream(spark, str(tmp_path / "t"), t, 10), "100 SECONDS")
     got = {r.source: r.status for r in run_available(out, "fused", "append", str(tmp_path / "c2")).collect()}
     assert got == {"s1": "fused", "s2": "expired"}
+
+
+def test_time_travel_triggers_tenants_and_write_policies(spark):
+    now = [dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)]
+    w = Workspace(spark, clock=lambda: now[0])
+    w.run('POUR MANY INTO stock [{"_id": "a", "n": 1, "tenant": "x"}, {"_id": "b", "n": 2, "tenant": "y"}]')
+    w.run('POUR INTO log "0" {"what": "start"}')
+    w.run("SHAPE BUCKET stock AUDITED")
+    w.run("ON POUR INTO stock RUN 'POUR INTO log \"$_id$\" {\"what\": \"$n$\"}'")
+    now[0] += dt.timedelta(days=1)
+    w.run('CHANGE stock "a" SET n TO 5')
+    now[0] += dt.timedelta(days=1)
+    assert {r.n for r in w.run('FIND stock AS OF "2024-01-01T12:00:00"').collect()} == {1, 2}
+    assert {r.n for r in w.run("FIND stock").collect()} == {5, 2}
+    w.run('POUR INTO stock "c" {"n": 9, "tenant": "x"}')
+    assert {(r.gid, r.what) for r in w.run("FIND log").collect()} == {("log:0", "start"), ("log:c", "9")}
+    w.session(tenant="x")
+    assert {r.gid for r in w.run("FIND stock").collect()} == {"stock:a", "stock:c"}
+    w.run('ENFORCE SECURITY "staff" ON "stock" TO ALLOW write IF my role = "staff"')
+    with pytest.raises(RejectedWrite):
+        w.run('CHANGE stock "a" SET n TO 6')
+    w.session(role="staff").run('CHANGE stock "a" SET n TO 6')
+    assert w.run("FIND stock WHERE n = 6").count() == 1
