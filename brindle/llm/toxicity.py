@@ -28,11 +28,13 @@ from brindle.llm.common import table
 from brindle.llm.labelled import Adam, held_out, learning_sample, sigmoid
 
 #: At most so many labelled documents of label 0 and of label 1 are learned from.
-SAMPLE = (3500, 1500)
+SAMPLE = (2500, 1000)
 BUCKETS, DIMS, GRAMS = 1 << 18, 8, (3, 4, 5)
 PASSAGE, STEP = 16, 8
 SHARPNESS, EPOCHS, RATE, DECAY = 8.0, 45, 0.08, 1e-5
 REMEMBERED = 400_000
+#: Words of the sample that are looked at together; bounds the memory of training.
+PART = 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"\w+")
 
@@ -88,11 +90,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), -60.0 if share == 0 else 60.0)
     known: dict[str, int] = {}
     docs = [np.array([known.setdefault(w, len(known)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
-    owner, flat = subwords(list(known)) if known else (np.zeros(0, int),) * 2
-    order = np.argsort(owner, kind="stable")
-    owner, flat = owner[order].astype(np.int32), flat[order].astype(np.int32)
-    sizes = np.bincount(owner, minlength=len(known))
-    firsts = np.cumsum(sizes) - sizes
+    vocabulary, n_words, parts = list(known), len(known), []
+    del known
+    for i in range(0, n_words, PART):
+        owner, flat = subwords(vocabulary[i : i + PART])
+        order = np.argsort(owner, kind="stable")
+        sizes = np.bincount(owner)
+        parts.append((slice(i, i + len(sizes)), flat[order].astype(np.int32), np.cumsum(sizes) - sizes, sizes.astype(np.float32)))
+    del vocabulary
     starts = [passages(len(d)) for d in docs]
     ends = np.cumsum([len(s) for s in starts])
     doc_first, at = ends - [len(s) for s in starts], np.cumsum([0, *(len(d) for d in docs)])
@@ -106,8 +111,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     adam = Adam(p, RATE)
     weight = np.where(labels == 1, 0.35 / (labels == 1).sum(), 0.65 / (labels == 0).sum())
     for _ in range(epochs):
-        vectors = np.add.reduceat(p["table"][flat], firsts, axis=0) / sizes[:, None].astype(np.float32)
         line = p["soft"][:, 1] - p["soft"][:, 0]
+        vectors = np.empty((n_words, DIMS), np.float32)
+        for own, flat, firsts, sizes in parts:
+            vectors[own] = np.add.reduceat(p["table"][flat], firsts, axis=0) / sizes[:, None]
         each = vectors @ line
         sums = np.concatenate([[0.0], np.cumsum(each[words], dtype=np.float64)])
         logits = (sums[hi] - sums[lo]) / PASSAGE + float(p["bias"][1] - p["bias"][0])
@@ -120,10 +127,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
         change = np.zeros(len(words) + 1)
         np.add.at(change, lo, by_passage)
         np.subtract.at(change, hi, by_passage)
-        by_word = np.bincount(words, np.cumsum(change)[:-1] / PASSAGE, len(known))
+        by_word = np.bincount(words, np.cumsum(change)[:-1] / PASSAGE, n_words)
         d_line = by_word @ vectors
-        back = (by_word / sizes)[owner]
-        column = np.bincount(flat, back, BUCKETS).astype(np.float32)
+        column = np.zeros(BUCKETS)
+        for own, flat, _, sizes in parts:
+            column += np.bincount(flat, np.repeat(by_word[own] / sizes, sizes.astype(np.int64)), BUCKETS)
+        column = column.astype(np.float32)
         d_bias = float(by_passage.sum())
         adam.step({"table": column[:, None] * line + DECAY * p["table"], "soft": np.stack([-d_line, d_line], 1).astype(np.float32), "bias": np.array([-d_bias, d_bias], np.float32)})
     line = p["soft"][:, 1] - p["soft"][:, 0]
