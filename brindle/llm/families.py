@@ -1,21 +1,30 @@
-"""Near-duplicate texts for a corpus pipeline: SimHash finds, shingles decide.
+"""Near-duplicate texts for a corpus pipeline: an exact search on shingles.
 
 Texts count as near copies at a Jaccard similarity of 0.8 or more of their
-sets of five-word shingles. Fingerprints of those shingles alone would differ
-in 5 to 15 bits at that similarity, more than an anchor search can span; so
-each text gets several fingerprints of its set of words, each with its own
-hashes, and the anchors of ``simhash`` are searched for each. Whatever is found
-is verified on the shingles of the whole texts.
+sets of five-word shingles. Texts that similar share one of the first
+n - ceil(0.8 n) + 1 of their n shingles, whatever order all shingles are put
+in (prefix filter); so each text is sent to those shingles alone, and texts that
+meet at none are never near copies. The order puts shingles that are common in
+a sample last, which decides how much meets and never what is found. A first
+version searched fingerprints of the sets of words; they miss copies with text
+appended or cut off, which differ in too many bits.
+
+What meets is verified on the shingles of the whole texts BEFORE anything is
+thinned: similarity is not transitive, so a pair is left out only if links
+already verified join the two. The first rounds compare one text at each
+shingle with the others there, to join large families by few pairs; the last
+compares all that is still in different families.
 
 Equal texts are one before the search. Defined cases: null and blank texts
 have no shingles and are near copies of each other; rows with a null doc_id
-take no part and stay; of repeated rows one stays. An empty table gives an
-empty result.
+take no part and stay; of repeated rows one stays; a doc_id with several texts
+stands for all of them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,30 +32,142 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import components, materialize, shuffle_partitions
-from brindle.llm.simhash import DISTANCE, PIPELINE_SHINGLE_WORDS, anchor_batches, link_batches, majority
+from brindle.llm.simhash import PIPELINE_SHINGLE_WORDS
 
 SIMILARITY = 0.8
-#: Fingerprints of each text, with hashes of their own.
-PRINTS = 6
-
+#: Rounds that compare one text of each shingle before the one that compares all.
+THIN_ROUNDS = 2
+#: Texts whose shingles tell what is common, and how many common shingles are remembered.
+SAMPLE, COMMON = 4096, 1 << 16
+#: Against the rounding of products with the similarity; bounds may only be too loose.
+SLACK = 1e-9
+#: Word hashes remembered, and pairs held, by a task.
+WORDS_HELD, PAIRS_HELD = 1 << 19, 1 << 20
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= WORDS_HELD:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def hashed_shingles(text: bytes | None, words: int, known: WordHashes) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text."""
+    found = (text or b"").lower().split()
+    w = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    count = max(1, len(w) - words + 1) if len(w) else 0
+    h = np.zeros(count, np.uint64)
+    for j in range(min(words, len(w))):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : j + count]
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return np.unique(h ^ h >> np.uint64(29))
+
+
+def sample_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
+    for batch in batches:
+        for t in batch.column(0):
+            yield pa.record_batch([pa.array(hashed_shingles(t.as_py(), words, known).view(np.int64))], names=["key"])
 
-def print_batches(batches: Iterator[pa.RecordBatch], prints: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    import xxhash
 
+def prefix_batches(batches: Iterator[pa.RecordBatch], words: int, similarity: float, common: np.ndarray, often: np.ndarray, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, size, rest): the prefix of each text, with the number of its shingles and of those after this one."""
+    known = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            each = [set((t or b"").lower().split()) for t in part.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
-            base = np.fromiter((xxhash.xxh64_intdigest(w) for x in each for w in x), np.uint64, int(sizes.sum()))
-            found = []
-            for k in range(prints):
-                h = (base + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
-                found.append(majority(h ^ h >> np.uint64(29), sizes).view(np.int64))
-            flat = pa.array(np.stack(found, 1).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(each) * prints + 1, prints), pa.int32()), flat)
-            yield pa.record_batch([part.column(0), lists], names=["doc_id", "prints"])
+            keys, sizes, rests = [], [], []
+            for t in part.column(1):
+                h = hashed_shingles(t.as_py(), words, known)
+                n = len(h)
+                if len(common) and n:
+                    i = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[i] == h, often[i], 0), kind="stable")]
+                keys.append(h[: n - ceil(similarity * n - SLACK) + 1] if n else np.zeros(1, np.uint64))  # blank texts meet at 0
+                sizes.append(n)
+                rests.append(n - 1 - np.arange(len(keys[-1])))
+            took = [len(k) for k in keys]
+            ids = np.repeat(part.column(0).to_numpy(), took)
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids), pa.array(np.repeat(sizes, took).astype(np.int32)), pa.array(np.concatenate(rests).astype(np.int32))], names=["key", "doc_id", "size", "rest"])
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first, cut only between its values."""
+    held = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        done = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last key may go on
+        if done:
+            yield [x[:done] for x in held]
+            held = [x[done:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key others have too."""
+    for cols in whole_keys(batches):
+        same = cols[0][1:] == cols[0][:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        yield pa.record_batch([pa.array(c[keep]) for c in cols], names=["key", "doc_id", "size", "rest"])
+
+
+def pair_batches(batches: Iterator[pa.RecordBatch], similarity: float, leader: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs that may be near copies, of different families, from rows (key, root, doc_id, size, rest) sorted by key, root, doc_id.
+
+    leader k: only the first row of a key's family k with the rows of later
+    families; None: all with all. A pair whose first common shingle this is has
+    at most the rest of either text in common, so what cannot reach the
+    similarity by it meets elsewhere or never.
+    """
+    out, held = [], 0
+
+    def give() -> pa.RecordBatch:
+        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.record_batch([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
+
+    for key, root, ids, size, rest in whole_keys(batches):
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal held
+            most = np.minimum(rest[i], rest[j]) + 1
+            both = size[i].astype(np.int64) + size[j]
+            may = (root[i] != root[j]) & (ids[i] != ids[j]) & ((1 + similarity) * most >= similarity * both - SLACK)  # noqa: B023
+            i, j = i[may], j[may]
+            if len(i):
+                out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))  # noqa: B023
+                held += len(i)
+
+        begins = np.concatenate([[True], key[1:] != key[:-1]])
+        if leader is not None:
+            of_key = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
+            turns = begins | np.concatenate([[True], root[1:] != root[:-1]])
+            family = np.cumsum(turns)
+            family -= family[of_key]
+            firsts = np.flatnonzero(turns & (family == leader))
+            at = np.searchsorted(key[firsts], key)
+            later = np.flatnonzero(family > leader)
+            add(firsts[at[later]], later)
+            if held >= PAIRS_HELD:
+                yield give()
+                out, held = [], 0
+            continue
+        i = np.arange(len(key))
+        for lag in range(1, len(key)):
+            i = i[i + lag < len(key)]
+            i = i[key[i] == key[i + lag]]
+            if not len(i):
+                break
+            add(i, i + lag)
+            if held >= PAIRS_HELD:
+                yield give()
+                out, held = [], 0
+    yield give()
 
 
 def alike_batches(batches: Iterator[pa.RecordBatch], words: int, similarity: float, rows: int = 64) -> Iterator[pa.RecordBatch]:
@@ -59,39 +180,55 @@ def alike_batches(batches: Iterator[pa.RecordBatch], words: int, similarity: flo
     for batch in batches:
         keep, last, own = [], None, set()
         for i in range(0, batch.num_rows, rows):
-            for a, x, y in zip(*(batch.column(c).slice(i, rows).to_pylist() for c in ("a", "ta", "tb"))):
-                if a != last:
-                    last, own = a, shingles(x)
+            for x, y in zip(*(batch.column(c).slice(i, rows).to_pylist() for c in ("ta", "tb"))):
+                if x != last:
+                    last, own = x, shingles(x)
                 other = shingles(y)
                 both = len(own & other)
                 keep.append(both >= similarity * (len(own) + len(other) - both))
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def one_of_each(docs: DataFrame, words: int = PIPELINE_SHINGLE_WORDS, similarity: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
+def near_links(texts: DataFrame, words: int = PIPELINE_SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) that span the families of (doc_id, raw)."""
+    spark = texts.sparkSession
+    parts = shuffle_partitions(spark)
+    every = max(1, texts.count() // SAMPLE)
+    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("raw").mapInArrow(lambda x: sample_batches(x, words), "key long")
+    seen = sampled.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()  # bounded
+    common = np.array([r["key"] for r in seen], np.int64).view(np.uint64)
+    often = np.array([r["count"] for r in seen], np.int64)
+    often = often[np.argsort(common)]
+    common.sort()
+    prefixes = texts.mapInArrow(lambda x: prefix_batches(x, words, similarity, common, often), "key long, doc_id long, size int, rest int")
+    shared = materialize(prefixes.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(shared_batches, "key long, doc_id long, size int, rest int"), "shared")
+    kin = materialize(texts.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "kin")
+    side = lambda name: kin.select(F.col("doc_id").alias(name), F.col("raw").alias(f"t{name}"))
+    links = checked = roots = None
+    for leader in [*range(THIN_ROUNDS), None]:
+        rows = shared.withColumn("root", F.col("doc_id"))
+        if roots is not None:
+            rows = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        rows = rows.select("key", "root", "doc_id", "size", "rest").repartition(parts, "key").sortWithinPartitions("key", "root", "doc_id")
+        pairs = rows.mapInArrow(lambda x: pair_batches(x, similarity, leader), "a long, b long").distinct()  # noqa: B023
+        pairs = materialize(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        laid = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+        found = materialize(laid.mapInArrow(lambda x: alike_batches(x, words, similarity), "a long, b long"), "links")
+        links = found if links is None else links.union(found)
+        checked = pairs if checked is None else checked.union(pairs)
+        if leader is not None:
+            roots = materialize(components(links, "links"), "roots")
+    return links
+
+
+def one_of_each(docs: DataFrame, words: int = PIPELINE_SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` of which no near copy has a smaller doc_id, by families."""
-    spark = docs.sparkSession
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     digest = F.unhex(F.md5(raw))
     known = docs.where("doc_id is not null")
     firsts = materialize(known.select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    texts = known.select("doc_id", raw.alias("raw"), digest.alias("digest")).join(firsts, ["doc_id", "digest"], "left_semi").select("doc_id", "raw")
-    marks = materialize(texts.mapInArrow(lambda x: print_batches(x, prints), "doc_id long, prints array<long>"), "prints")
-    # a doc_id with several texts stands for all of them
-    by_print = marks.select("doc_id", F.posexplode("prints").alias("k", "fp"))
-    first_of = materialize(by_print.groupBy("k", "fp").agg(F.min("doc_id").alias("first")), "first_of")
-    same = by_print.join(first_of, ["k", "fp"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    pairs = same
-    for k in range(prints):
-        own = first_of.where(F.col("k") == k)
-        near = own.select("fp").mapInArrow(anchor_batches, "anchor long, fp long").repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "fp")
-        met = near.mapInArrow(lambda x: link_batches(x, DISTANCE), "a long, b long").withColumnsRenamed({"a": "x", "b": "y"})
-        side = lambda fp, name: own.select(F.col("fp").alias(fp), F.col("first").alias(name))  # noqa: B023, E731
-        pairs = pairs.unionByName(met.join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b"))
-    pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    side = lambda name, text: texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(name), F.col("raw").alias(text))
-    laid = pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
-    links = materialize(laid.mapInArrow(lambda x: alike_batches(x, words, similarity), "a long, b long"), "links")
+    texts = known.select("doc_id", raw.alias("raw"), digest.alias("digest")).join(firsts, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "raw")
+    links = near_links(materialize(texts, "texts"), words, similarity)
     later = components(links, "links").where("node <> root").select(F.col("node").alias("doc_id"))
     keep = firsts.join(later, "doc_id", "left_anti")
     own = docs.columns

@@ -133,3 +133,20 @@ def test_one_of_each_odd(odd, empty):
     assert 1 not in ids and 0 in ids and 9 not in ids and ids.count(3) == 1
     assert out.where("doc_id is null").count() == 2
     assert fam.one_of_each(empty).count() == 0
+
+
+def kept_by_brute_force(rows):
+    s = {d: shingles(t) for d, t in rows.items()}
+    pairs = [(a, b) for a, b in combinations(sorted(rows), 2) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    return {d for d, r in roots(rows, pairs).items() if d == r}
+
+
+def kept_by_search(spark, rows):
+    return {r.doc_id for r in fam.one_of_each(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")).collect()}
+
+
+def test_pairs_are_verified_before_thinning(spark):
+    first = [f"w{i * 7919 % 1000}" for i in range(200)]
+    other = list(np.random.default_rng(5).permutation(first))
+    rows = {0: " ".join(first), 1: " ".join(other), 2: " ".join([*other[:-2], other[-1], other[-2]])}
+    assert kept_by_search(spark, rows) == kept_by_brute_force(rows) == {0, 1}
