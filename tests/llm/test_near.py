@@ -150,3 +150,19 @@ def test_pairs_are_verified_before_thinning(spark):
     other = list(np.random.default_rng(5).permutation(first))
     rows = {0: " ".join(first), 1: " ".join(other), 2: " ".join([*other[:-2], other[-1], other[-2]])}
     assert kept_by_search(spark, rows) == kept_by_brute_force(rows) == {0, 1}
+
+
+def test_appended_and_cut_copies_are_found(spark):
+    rng = np.random.default_rng(6)
+    make = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    passage, rows = make(40), {}
+    for _ in range(40):
+        w = make(int(rng.integers(80, 300)))
+        w[10:10] = passage  # common to all, in the way of a search
+        n = len(w)
+        copies = [w, w + make(n * 8 // 100), make(n * 15 // 100) + w, w + make(n * 20 // 100), w[: n * 90 // 100], w[n * 18 // 100 :], w[: n * 60 // 100]]
+        for c in rng.permutation(len(copies)):
+            rows[len(rows)] = " ".join(copies[c])
+    want = kept_by_brute_force(rows)
+    assert 40 < len(want) < 160
+    assert kept_by_search(spark, rows) == want
