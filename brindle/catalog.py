@@ -278,7 +278,8 @@ class Workspace:
             hit = F.lit(True) if s.get("key") is None else F.col(b.key).cast("string") == s.key
         kept, gone = mutate.drain(b.df, hit, self.now())
         gids = gone.select(graph.gid(s.bucket, b.key).alias("gid"))
-        for target in {r["target"].split(":", 1)[0] for r in self.state.bonds.where("cascade").select("target").distinct().limit(1000).toLocalIterator()} & set(self.state.buckets):
+        bucket = F.substring_index("target", ":", 1).alias("bucket")
+        for target in [r["bucket"] for r in self.state.bonds.where("cascade").select(bucket).where(F.col("bucket").isin(list(self.state.buckets))).distinct().collect()]:  # at most the buckets
             other = self.bucket(target)
             victims = graph.cascade_one_level(self.state.bonds, gids)
             self.bind(target, other.df.join(victims, graph.gid(target, other.key) == F.col("gid"), "left_anti"), "DRAIN")

@@ -8,6 +8,7 @@ round to the shared checkpoint folder and carry only their new rows.
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,17 +132,19 @@ def exclusive(bonds: DataFrame) -> DataFrame:
     return bonds.withColumn("status", F.when(F.row_number().over(later) == 1, F.col("status")).otherwise("expired"))
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int, direction: str = "OUT", include_start: bool = False) -> DataFrame:
-    """(node, hop) by breadth: the fewest hops from any start, at most ``depth``."""
+def reach(edges: DataFrame, start: DataFrame, depth: int | None, direction: str = "OUT", include_start: bool = False) -> DataFrame:
+    """(node, hop) by breadth: the fewest hops from any start, at most ``depth`` (None: until nothing is new)."""
     step = directed(edges.select("source", "target"), direction).distinct().toDF("_from", "_to")
     seen = checkpointed(start.select(F.col(start.columns[0]).alias("node")).distinct().withColumn("hop", F.lit(0)))
     frontier = seen
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         found = frontier.join(step, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
         frontier = checkpointed(found.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % 16 == 0:  # or the plan grows with the depth
+            seen = checkpointed(seen)
     return seen if include_start else seen.where("hop > 0")
 
 
@@ -219,7 +222,7 @@ def cascade_one_level(bonds: DataFrame, drained: DataFrame) -> DataFrame:
     return bonds.where("cascade").join(drained.select(F.col("gid").alias("source")), "source", "left_semi").select(F.col("target").alias("gid")).distinct()
 
 
-def cascade_all(edges: DataFrame, victims: DataFrame, depth: int = 64) -> DataFrame:
+def cascade_all(edges: DataFrame, victims: DataFrame, depth: int | None = None) -> DataFrame:
     """Record engine: whoever refers to a victim by a cascading edge is one too, to any depth."""
     back = reversed_edges(edges.where("on_delete = 'cascade'").select("source", "target"))
     return reach(back, victims, depth, include_start=True).select(F.col("node").alias("gid"))

@@ -267,3 +267,17 @@ def test_time_travel_triggers_tenants_and_write_policies(spark):
         w.run('CHANGE stock "a" SET n TO 6')
     w.session(role="staff").run('CHANGE stock "a" SET n TO 6')
     assert w.run("FIND stock WHERE n = 6").count() == 1
+
+
+def test_drain_reaches_every_bucket_and_depth(spark):
+    w = Workspace(spark)
+    small = ["b1", "b2", "b3", "b4"]
+    for name, n in [("top", 1), ("big", 20_000), *[(b, 1) for b in small]]:
+        w.add(name, spark.range(n).select(F.col("id").cast("string").alias("k")), "k")
+    targets = spark.range(20_000).select(F.concat(F.lit("big:"), "id").alias("target")).unionByName(spark.createDataFrame([(f"{b}:0",) for b in small], "target string"))
+    bonds = targets.select(F.lit("top:0").alias("source"), "target", F.lit(True).alias("cascade"))
+    w.state.bonds = bonds.select(*[(F.col(c) if c in bonds.columns else F.lit(None)).cast(t).alias(c) for c, t in w.state.bonds.dtypes])
+    w.run('DRAIN top "0"')
+    assert [w.bucket(b).df.count() for b in ["top", "big", *small]] == [0] * 6
+    chain = edges(spark, *[(f"n{i + 1:03}", f"n{i:03}") for i in range(70)]).withColumn("on_delete", F.lit("cascade"))
+    assert graph.cascade_all(chain, spark.createDataFrame([("n000",)], "gid string")).count() == 71
