@@ -67,8 +67,8 @@ class Records:
             df = df.join(keys, c.key, "left_semi").select(*c.df.columns)
         return df
 
-    def find(self, name: str, *, order: str = "newest", limit: int = 20, join: list[str] = (), **filters) -> DataFrame:
-        """order: newest, oldest or score; joins attach ``joined_<relation>`` after the limit, null if absent."""
+    def find(self, name: str, *, order: str = "newest", limit: int | None = 20, join: list[str] = (), **filters) -> DataFrame:
+        """order: newest, oldest or score; limit None gives all rows; joins attach ``joined_<relation>`` after the limit, null if absent."""
         c = self.collections[name]
         df = self._filtered(name, **filters)
         if order == "score" and filters.get("text"):
@@ -77,7 +77,7 @@ class Records:
         else:
             stamp = c.ts or c.key
             ranked = df.orderBy(F.desc(stamp) if order != "oldest" else F.asc(stamp), c.key)
-        out = ranked.limit(limit)
+        out = ranked if limit is None else ranked.limit(limit)
         for relation in join:
             column, target = c.relations[relation]
             t = self.collections[target]

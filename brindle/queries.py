@@ -629,7 +629,7 @@ def record_range_newest(spark, d):
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-11' AND value >= 50")
 def record_time_window(spark, d):
     r = Records().add("events", load(spark, d, "events"), "event_id", "ts")
-    return r.find("events", where=[("value", ">=", 50)], since="2024-01-10", until="2024-01-11", limit=1_000_000).select("event_id")
+    return r.find("events", where=[("value", ">=", 50)], since="2024-01-10", until="2024-01-11", limit=None).select("event_id")
 
 
 @query("SELECT count(*) AS count FROM orders WHERE o_totalprice >= 100000 AND o_custkey < 100")

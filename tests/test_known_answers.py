@@ -281,3 +281,12 @@ def test_drain_reaches_every_bucket_and_depth(spark):
     assert [w.bucket(b).df.count() for b in ["top", "big", *small]] == [0] * 6
     chain = edges(spark, *[(f"n{i + 1:03}", f"n{i:03}") for i in range(70)]).withColumn("on_delete", F.lit("cascade"))
     assert graph.cascade_all(chain, spark.createDataFrame([("n000",)], "gid string")).count() == 71
+
+
+def test_time_window_has_no_row_cap(spark, tmp_path):
+    n = 1_000_050
+    e = spark.range(n).select(F.col("id").alias("event_id"), F.lit("2024-01-10 12:00:00").cast("timestamp").alias("ts"), F.lit(60.0).alias("value"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    from brindle.queries import QUERIES
+
+    assert QUERIES["record_time_window"](spark, str(tmp_path)).count() == n
