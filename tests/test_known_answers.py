@@ -290,3 +290,36 @@ def test_time_window_has_no_row_cap(spark, tmp_path):
     from brindle.queries import QUERIES
 
     assert QUERIES["record_time_window"](spark, str(tmp_path)).count() == n
+
+
+def test_graph_queries_know_all_users(spark, tmp_path):
+    from brindle.queries import QUERIES
+
+    users = [1, 70, 90, 1, 5, 70, 80, 200, 200, 210]  # 210 has no way back
+    spark.createDataFrame(list(enumerate(users)), "event_id long, user_id long").withColumn("event_type", F.lit("purchase")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    next_of = set(zip(users, users[1:]))
+    pairs, size = set(next_of), 0
+    while size != len(pairs):
+        size = len(pairs)
+        pairs |= {(u, t) for u, v in pairs for s, t in next_of if v == s and u != t}
+    hop, level = {1: 0}, {1}
+    for h in (1, 2, 3):
+        level = {t for s, t in next_of if s in level} - set(hop)
+        hop |= dict.fromkeys(level, h)
+    both, two, level = next_of | {(t, s) for s, t in next_of}, {1: 0}, {1}
+    for h in (1, 2):
+        level = {t for s, t in both if s in level} - set(two)
+        two |= dict.fromkeys(level, h)
+    del two[1]
+    cyclic = {u: min(v for x, v in pairs if x == u and (v, u) in pairs or x == u == v) for u in {u for u, v in pairs if (v, u) in pairs}}
+    tri = {(a, b, c) for a, b in next_of for x, c in next_of if x == b and (c, a) in next_of and len({a, b, c}) in (1, 3)}
+    new = {(u, t) for u in users for t in (u * 7, u + 1)}
+    got = lambda q, *cols: {tuple(r) for r in QUERIES[q](spark, str(tmp_path)).select(*cols).collect()}
+    assert got("follow_out_depth_all", "node", "hop") == set(hop.items())
+    assert got("follow_both_all", "node", "hop") == set(two.items())
+    assert got("closure_all", "u", "v") == pairs
+    assert got("cycles_scc_all", "component", "node") == {(min(c, u), u) for u, c in cyclic.items()}
+    assert got("triangles_all", "a", "b", "c") == tri and tri
+    assert got("acyclic_guard_all", "source", "target") == {(s, t) for s, t in new if s == t or (t, s) in pairs}
+    near = {u: h for u, h in hop.items() if h <= 2}
+    assert got("path_auth_all", "node", "authorized", "length") == {(u, u in near, near.get(u)) for u in users}
