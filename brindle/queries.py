@@ -643,6 +643,25 @@ def array_kernels(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.round(arrays.total(v), 4).alias("total"), F.round(arrays.norm(v), 4).alias("norm"), F.round(arrays.total(arrays.sigmoid(v)), 4).alias("sig"), F.round(F.array_max(arrays.softmax(v)), 4).alias("top"))
 
 
+# The same as term_freq, intent and join_many over the whole tables; those three are over the part that their SQL names.
+@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2")
+def term_freq_all(spark, d):
+    return search.terms(load(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') AND list_contains(regexp_split_to_array(lower(text), '\\W+'), 'idiot') THEN 'insult' ELSE 'ambiguous' END AS intent FROM documents")
+def intent_all(spark, d):
+    df = load(spark, d, "documents")
+    return df.select("doc_id", search.classify_intent(df, "text", {"insult": ["idiot"]}).alias("intent"))
+
+
+@query("SELECT o_orderkey, count(l_partkey) AS n, array_to_string(list_sort(list(l_partkey) FILTER (l_partkey IS NOT NULL)), ',') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(l_partkey) > 0")
+def join_many_all(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey")
+    j = o.join(load(spark, d, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.groupBy("o_orderkey").agg(F.count("l_partkey").alias("n"), F.concat_ws(",", F.array_sort(F.collect_list("l_partkey")).cast("array<string>")).alias("parts"))
+
+
 @query()
 def layer_norm_gelu(spark, d):
     v = F.col("embedding")

@@ -323,3 +323,15 @@ def test_graph_queries_know_all_users(spark, tmp_path):
     assert got("acyclic_guard_all", "source", "target") == {(s, t) for s, t in new if s == t or (t, s) in pairs}
     near = {u: h for u, h in hop.items() if h <= 2}
     assert got("path_auth_all", "node", "authorized", "length") == {(u, u in near, near.get(u)) for u in users}
+
+
+def test_whole_tables_are_read(spark, tmp_path):
+    from brindle.queries import QUERIES
+
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "an idiot", "en"), (2, "ein idiot", "de"), (3, "one two two", None), (4, None, "fr")], "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(7,), (49,), (50,), (9000,)], "o_orderkey long").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(7, 3), (50, 2), (9000, 5), (9000, 1)], "l_orderkey long, l_partkey long").write.parquet(f"{d}/lineitem.parquet")
+    assert {tuple(r) for r in QUERIES["term_freq_all"](spark, d).select("doc_id", "term", "tf").collect()} == {(1, "an", 1), (1, "idiot", 1), (2, "ein", 1), (2, "idiot", 1), (3, "one", 1), (3, "two", 2)}
+    assert {tuple(r) for r in QUERIES["intent_all"](spark, d).collect()} == {(1, "insult"), (2, "insult"), (3, "ambiguous"), (4, "ambiguous")}
+    assert {tuple(r) for r in QUERIES["join_many_all"](spark, d).collect()} == {(7, 1, "3"), (50, 1, "2"), (9000, 2, "1,5")}
