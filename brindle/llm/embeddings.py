@@ -13,8 +13,9 @@ is exactly at or above the threshold. Recall is measured in the tests.
 Equal vectors are one before the search and count as links of each other.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing, and so do those of another length than most; a
-null vec_id is linked with nothing. An empty table gives an empty result.
+components link with nothing; a null vec_id is linked with nothing. Vectors of
+each length are searched by themselves, with a rotation of their own, and link
+only with their own length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -129,17 +130,26 @@ def rerank_batches(batches: Iterator[pa.RecordBatch], dims: int, threshold: floa
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id) for every row of (vec_id, embedding)."""
-    spark = vectors.sparkSession
     number = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(number, lambda x: x != 0)
     rows = materialize(vectors.select("vec_id", F.when(fine, number).alias("embedding")), "vectors")
-    usual = rows.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if usual is None:
+    lengths = [r["d"] for r in rows.where("embedding is not null").select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]  # one for each embedding model
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    dims = usual["d"]
-    digest = F.when(F.size("embedding") == dims, F.sha2(F.to_json("embedding"), 256))
-    rows = materialize(rows.select("vec_id", digest.alias("digest"), F.when(digest.isNotNull(), F.col("embedding")).alias("embedding")), "digests")
-    groups = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("gid"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "groups")
+    digest = F.when(F.col("embedding").isNotNull(), F.sha2(F.to_json("embedding"), 256))
+    rows = materialize(rows.select("vec_id", digest.alias("digest"), "embedding"), "digests")
+    known = None
+    for dims in lengths:
+        one = known_groups(rows.where(F.size("embedding") == dims), dims, threshold, sample)
+        known = one if known is None else known.unionByName(one)
+    out = rows.select("vec_id", "digest").join(known, "digest", "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+
+
+def known_groups(rows: DataFrame, dims: int, threshold: float, sample: int) -> DataFrame:
+    """(digest, n_links, component_id) of the distinct vectors of one length."""
+    spark = rows.sparkSession
+    groups = materialize(rows.groupBy("digest").agg(F.min("vec_id").alias("gid"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "groups")
     some = groups.orderBy(F.xxhash64("gid"), "gid").select("embedding").limit(sample).collect()  # bounded
     unit = np.array([r["embedding"] for r in some], np.float64)
     mean, rotation = learn_rotation(unit / np.linalg.norm(unit, axis=1, keepdims=True))
@@ -155,9 +165,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     counts = ends.join(groups.select(F.col("gid").alias("other"), "n"), "other").groupBy("gid").agg(F.sum("n").alias("outside"))
     roots = components(links, "links").withColumnRenamed("node", "gid")
     known = groups.join(counts, "gid", "left").join(roots, "gid", "left")
-    known = known.select("digest", (F.coalesce("outside", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "gid").alias("component_id"))
-    out = rows.select("vec_id", "digest").join(known, "digest", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return known.select("digest", (F.coalesce("outside", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "gid").alias("component_id"))
 
 
 def op3_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
