@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = rb"[^\x20\x09-\x0D]+"
+#: Bytes of texts that go to a Python worker, or come from it, together (and one row more).
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches hold at most ``BATCH_BYTES``, however long the texts: a worker holds a few of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, numbered, salt_of, table
+from brindle.llm.common import bounded_batches, materialize, numbered, salt_of, table
 
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 NUMBERING_BUCKETS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -62,13 +62,18 @@ class ByteIds(dict):
     def __init__(self, json_file: str, ranks_file: str, remembered: int = REMEMBERED):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding(ranks_file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.whole = Tokenizer.from_file(json_file)
-        self.remembered = remembered
+        self.json_file, self.remembered = json_file, remembered
+
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer itself, for texts with its special string; most workers never meet one."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_file)
 
     def __missing__(self, word: str) -> bytes:
         got = self[word] = array("I", self.encode(" " + word)).tobytes()
@@ -190,6 +195,7 @@ def place(batches: Iterator[pa.RecordBatch], by_length: dict[int, np.ndarray]) -
 def pack(docs: DataFrame, files: tuple[str, str] | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with their sequence and place in it."""
     files = files or tokenizer_files()
+    bounded_batches(docs.sparkSession)
     pieces = materialize(docs.select("doc_id", "text").mapInArrow(lambda x: cut(x, files, capacity, end_id), PIECES), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # one row a length
     by_length = deals(plan(counts, capacity), capacity)
