@@ -1,13 +1,18 @@
-"""Near-duplicate texts for a corpus pipeline: an exact search on shingles.
+"""Near-duplicate texts for a corpus pipeline: SimHash families, then an exact search.
 
 Texts count as near copies at a Jaccard similarity of 0.8 or more of their
-sets of five-word shingles. Texts that similar share one of the first
-n - ceil(0.8 n) + 1 of their n shingles, whatever order all shingles are put
-in (prefix filter); so each text is sent to those shingles alone, and texts that
-meet at none are never near copies. The order puts shingles that are common in
-a sample last, which decides how much meets and never what is found. A first
-version searched fingerprints of the sets of words; they miss copies with text
-appended or cut off, which differ in too many bits.
+sets of five-word shingles. A 64-bit SimHash fingerprint of the set serves
+twice. First the anchor search of ``simhash`` brings together the texts whose
+fingerprints differ in at most 3 bits, and the links it spans are verified on
+the texts. But at a similarity of 0.8 fingerprints differ in about 10 bits, so
+what that search leaves is searched exactly: texts that similar share one of
+the first n - ceil(0.8 n) + 1 of their n shingles, whatever order all shingles
+are put in (prefix filter), so each text is sent to those shingles alone. The
+order puts the shingles that are common in the corpus, counted over all texts,
+last; it decides how much meets and never what is found. Of two texts that
+meet, those whose fingerprints differ in over 28 bits are no near copies (at a
+similarity of 0.8 that has a probability under one in ten million; texts of
+few shingles, whose fingerprints are coarse, are exempt).
 
 What meets is verified on the shingles of the whole texts BEFORE anything is
 thinned: similarity is not transitive, so a pair is left out only if links
@@ -31,18 +36,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import components, materialize, shuffle_partitions
-from brindle.llm.simhash import PIPELINE_SHINGLE_WORDS
+from brindle.llm.common import bounded_batches, components, materialize, shuffle_partitions
+from brindle.llm.simhash import DISTANCE, PIPELINE_SHINGLE_WORDS, fingerprint_links, majority
 
 SIMILARITY = 0.8
 #: Rounds that compare one text of each shingle before the one that compares all.
 THIN_ROUNDS = 2
-#: Texts whose shingles tell what is common, and how many common shingles are remembered.
-SAMPLE, COMMON = 4096, 1 << 16
+#: Shingles that are remembered as common, and the hashes that a task counts together.
+COMMON, COUNTED = 1 << 16, 1 << 21
+#: Bits in which fingerprints of near copies differ at most, and from how many shingles on that is asked.
+BITS, COARSE = 28, 32
 #: Against the rounding of products with the similarity; bounds may only be too loose.
 SLACK = 1e-9
-#: Word hashes remembered, and pairs held, by a task.
-WORDS_HELD, PAIRS_HELD = 1 << 19, 1 << 20
+#: Word hashes remembered, pairs held, and rows of a key that are compared lag by lag.
+WORDS_HELD, PAIRS_HELD, FEW = 1 << 17, 1 << 20, 32
+PREFIX = "key long, doc_id long, size int, rest int, fp long"
+NAMES = [x.split()[0] for x in PREFIX.split(", ")]
 
 
 class WordHashes(dict):
@@ -67,22 +76,40 @@ def hashed_shingles(text: bytes | None, words: int, known: WordHashes) -> np.nda
     return np.unique(h ^ h >> np.uint64(29))
 
 
-def sample_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
+def print_batches(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Two kinds of rows (of_key, id, n): fingerprints of texts by doc_id, and how often shingles recur by key."""
+    known, met, size = WordHashes(), [], 0
+
+    def counted() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(met), return_counts=True) if met else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        again = n > 1
+        return pa.record_batch([pa.array(np.ones(again.sum(), bool)), pa.array(key[again].view(np.int64)), pa.array(n[again].astype(np.int64))], names=["of_key", "id", "n"])
+
     for batch in batches:
-        for t in batch.column(0):
-            yield pa.record_batch([pa.array(hashed_shingles(t.as_py(), words, known).view(np.int64))], names=["key"])
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            each = [hashed_shingles(t.as_py(), words, known) for t in part.column(1)]
+            sizes = np.array([len(h) for h in each], np.int64)
+            flat = np.concatenate(each)
+            yield pa.record_batch([pa.array(np.zeros(len(each), bool)), part.column(0), pa.array(majority(flat, sizes).view(np.int64))], names=["of_key", "id", "n"])
+            met.append(flat)
+            size += len(flat)
+            if size >= COUNTED:
+                yield counted()
+                met, size = [], 0
+    yield counted()
 
 
 def prefix_batches(batches: Iterator[pa.RecordBatch], words: int, similarity: float, common: np.ndarray, often: np.ndarray, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, size, rest): the prefix of each text, with the number of its shingles and of those after this one."""
+    """The prefix of each text, with the number of its shingles, of those after this one, and the text's fingerprint."""
     known = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             keys, sizes, rests = [], [], []
-            for t in part.column(1):
-                h = hashed_shingles(t.as_py(), words, known)
+            each = [hashed_shingles(t.as_py(), words, known) for t in part.column(1)]
+            prints = majority(np.concatenate(each), np.array([len(h) for h in each], np.int64)).view(np.int64)
+            for h in each:
                 n = len(h)
                 if len(common) and n:
                     i = np.minimum(np.searchsorted(common, h), len(common) - 1)
@@ -91,8 +118,8 @@ def prefix_batches(batches: Iterator[pa.RecordBatch], words: int, similarity: fl
                 sizes.append(n)
                 rests.append(n - 1 - np.arange(len(keys[-1])))
             took = [len(k) for k in keys]
-            ids = np.repeat(part.column(0).to_numpy(), took)
-            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids), pa.array(np.repeat(sizes, took).astype(np.int32)), pa.array(np.concatenate(rests).astype(np.int32))], names=["key", "doc_id", "size", "rest"])
+            cols = (np.concatenate(keys).view(np.int64), np.repeat(part.column(0).to_numpy(), took), np.repeat(sizes, took).astype(np.int32), np.concatenate(rests).astype(np.int32), np.repeat(prints, took))
+            yield pa.record_batch([pa.array(c) for c in cols], names=NAMES)
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -114,16 +141,18 @@ def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for cols in whole_keys(batches):
         same = cols[0][1:] == cols[0][:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield pa.record_batch([pa.array(c[keep]) for c in cols], names=["key", "doc_id", "size", "rest"])
+        yield pa.record_batch([pa.array(c[keep]) for c in cols], names=NAMES)
 
 
 def pair_batches(batches: Iterator[pa.RecordBatch], similarity: float, leader: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs that may be near copies, of different families, from rows (key, root, doc_id, size, rest) sorted by key, root, doc_id.
+    """Pairs that may be near copies, of different families, from rows (key, root, doc_id, size, rest, fp) sorted by key, root, doc_id.
 
     leader k: only the first row of a key's family k with the rows of later
     families; None: all with all. A pair whose first common shingle this is has
     at most the rest of either text in common, so what cannot reach the
-    similarity by it meets elsewhere or never.
+    similarity by it meets elsewhere or never. Families are runs of rows, so a
+    key that one family fills costs nothing, and a large family of a key is
+    compared only with the rows outside it.
     """
     out, held = [], 0
 
@@ -131,93 +160,110 @@ def pair_batches(batches: Iterator[pa.RecordBatch], similarity: float, leader: i
         got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.record_batch([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
 
-    for key, root, ids, size, rest in whole_keys(batches):
+    for key, root, ids, size, rest, fp in whole_keys(batches):
+        fp = fp.view(np.uint64)
 
         def add(i: np.ndarray, j: np.ndarray) -> None:
             nonlocal held
-            most = np.minimum(rest[i], rest[j]) + 1
-            both = size[i].astype(np.int64) + size[j]
+            most = np.minimum(rest[i], rest[j]) + 1  # noqa: B023
+            both = size[i].astype(np.int64) + size[j]  # noqa: B023
             may = (root[i] != root[j]) & (ids[i] != ids[j]) & ((1 + similarity) * most >= similarity * both - SLACK)  # noqa: B023
+            may &= (np.bitwise_count(fp[i] ^ fp[j]) <= BITS) | (np.minimum(size[i], size[j]) < COARSE)  # noqa: B023
             i, j = i[may], j[may]
             if len(i):
                 out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))  # noqa: B023
                 held += len(i)
 
         begins = np.concatenate([[True], key[1:] != key[:-1]])
+        turns = begins | np.concatenate([[True], root[1:] != root[:-1]])
+        number = np.cumsum(begins) - 1
+        several = np.bincount(number, turns)[number] > 1  # other keys are of one family
+        key, root, ids, size, rest, fp, begins, turns = (x[several] for x in (key, root, ids, size, rest, fp, begins, turns))
+        if not len(key):
+            continue
+        heads = np.flatnonzero(begins)
+        lengths = np.diff(np.append(heads, len(key)))
         if leader is not None:
-            of_key = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
-            turns = begins | np.concatenate([[True], root[1:] != root[:-1]])
             family = np.cumsum(turns)
-            family -= family[of_key]
+            family -= np.repeat(family[heads], lengths)
             firsts = np.flatnonzero(turns & (family == leader))
-            at = np.searchsorted(key[firsts], key)
             later = np.flatnonzero(family > leader)
-            add(firsts[at[later]], later)
+            add(firsts[np.searchsorted(key[firsts], key[later])], later)
             if held >= PAIRS_HELD:
                 yield give()
                 out, held = [], 0
             continue
-        i = np.arange(len(key))
-        for lag in range(1, len(key)):
+        small = np.repeat(lengths <= FEW, lengths)
+        i = np.flatnonzero(small)
+        for lag in range(1, FEW):
             i = i[i + lag < len(key)]
             i = i[key[i] == key[i + lag]]
-            if not len(i):
-                break
             add(i, i + lag)
-            if held >= PAIRS_HELD:
-                yield give()
-                out, held = [], 0
+        for at, n in zip(heads[lengths > FEW].tolist(), lengths[lengths > FEW].tolist()):
+            rows = np.arange(at, at + n)
+            runs = np.flatnonzero(turns[at : at + n])
+            widths = np.diff(np.append(runs, n))
+            big = at + runs[widths.argmax()]
+            inside = (rows >= big) & (rows < big + widths.max())
+            for k in rows[~inside]:
+                add(np.full(n, k), np.where(inside | (rows > k), rows, k))  # a row with itself is no pair
+                if held >= PAIRS_HELD:
+                    yield give()
+                    out, held = [], 0
     yield give()
 
 
 def alike_batches(batches: Iterator[pa.RecordBatch], words: int, similarity: float, rows: int = 64) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose texts have similar sets of shingles."""
-
-    def shingles(text: bytes) -> set:
-        found = (text or b"").lower().split()
-        return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
-
+    known = WordHashes()
     for batch in batches:
-        keep, last, own = [], None, set()
+        keep, last = [], [(None, None), (None, None)]
         for i in range(0, batch.num_rows, rows):
-            for x, y in zip(*(batch.column(c).slice(i, rows).to_pylist() for c in ("ta", "tb"))):
-                if x != last:
-                    last, own = x, shingles(x)
-                other = shingles(y)
-                both = len(own & other)
-                keep.append(both >= similarity * (len(own) + len(other) - both))
+            for pair in zip(*(batch.column(c).slice(i, rows).to_pylist() for c in ("ta", "tb"))):
+                last = [was if was[1] is not None and was[0] == t else (t, hashed_shingles(t, words, known)) for t, was in zip(pair, last)]
+                own, other = last[0][1], last[1][1]
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(both >= similarity * (len(own) + len(other) - both) - SLACK)
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids that are near copies, on their whole texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    kin = materialize(texts.join(ends, "doc_id", "left_semi"), "kin")
+    side = lambda name: kin.select(F.col("doc_id").alias(name), F.col("raw").alias(f"t{name}"))
+    laid = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    return materialize(laid.mapInArrow(lambda x: alike_batches(x, words, similarity), "a long, b long"), "links")
+
+
 def near_links(texts: DataFrame, words: int = PIPELINE_SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) that span the families of (doc_id, raw)."""
     spark = texts.sparkSession
+    bounded_batches(spark)
     parts = shuffle_partitions(spark)
-    every = max(1, texts.count() // SAMPLE)
-    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("raw").mapInArrow(lambda x: sample_batches(x, words), "key long")
-    seen = sampled.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()  # bounded
-    common = np.array([r["key"] for r in seen], np.int64).view(np.uint64)
-    often = np.array([r["count"] for r in seen], np.int64)
-    often = often[np.argsort(common)]
+    seen = materialize(texts.mapInArrow(lambda x: print_batches(x, words), "of_key boolean, id long, n long"), "prints")
+    prints = seen.where(~F.col("of_key")).select(F.col("id").alias("doc_id"), F.col("n").alias("fp"))
+    top = seen.where("of_key").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON).collect()  # bounded; orders the shingles
+    common = np.array([r["id"] for r in top], np.int64).view(np.uint64)
+    often = np.array([r["n"] for r in top], np.int64)[np.argsort(common)]
     common.sort()
-    prefixes = texts.mapInArrow(lambda x: prefix_batches(x, words, similarity, common, often), "key long, doc_id long, size int, rest int")
-    shared = materialize(prefixes.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(shared_batches, "key long, doc_id long, size int, rest int"), "shared")
-    kin = materialize(texts.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "kin")
-    side = lambda name: kin.select(F.col("doc_id").alias(name), F.col("raw").alias(f"t{name}"))
-    links = checked = roots = None
+
+    firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts_of_prints")
+    same = prints.join(firsts, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    ends = fingerprint_links(firsts.select("fp"), DISTANCE)
+    across = ends.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    checked = materialize(same.union(across).distinct(), "pairs")
+    links = verified(checked, texts, words, similarity)
+
+    prefixes = texts.mapInArrow(lambda x: prefix_batches(x, words, similarity, common, often), PREFIX)
+    shared = materialize(prefixes.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(shared_batches, PREFIX), "shared")
     for leader in [*range(THIN_ROUNDS), None]:
-        rows = shared.withColumn("root", F.col("doc_id"))
-        if roots is not None:
-            rows = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        rows = rows.select("key", "root", "doc_id", "size", "rest").repartition(parts, "key").sortWithinPartitions("key", "root", "doc_id")
+        roots = materialize(components(links, "links"), "roots").withColumnRenamed("node", "doc_id")
+        rows = shared.join(roots, "doc_id", "left").select("key", F.coalesce("root", "doc_id").alias("root"), "doc_id", "size", "rest", "fp")
+        rows = rows.repartition(parts, "key").sortWithinPartitions("key", "root", "doc_id")
         pairs = rows.mapInArrow(lambda x: pair_batches(x, similarity, leader), "a long, b long").distinct()  # noqa: B023
-        pairs = materialize(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        laid = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-        found = materialize(laid.mapInArrow(lambda x: alike_batches(x, words, similarity), "a long, b long"), "links")
-        links = found if links is None else links.union(found)
-        checked = pairs if checked is None else checked.union(pairs)
-        if leader is not None:
-            roots = materialize(components(links, "links"), "roots")
+        pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        links, checked = links.union(verified(pairs, texts, words, similarity)), checked.union(pairs)
     return links
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import components, materialize, shuffle_partitions, table
+from brindle.llm.common import bounded_batches, components, materialize, shuffle_partitions, table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -84,6 +84,7 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch], words: int, rows: int
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp): the 64 bits as a signed number."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(lambda x: fingerprint_batches(x, words), "doc_id long, fp long")
 
 
@@ -171,13 +172,17 @@ def link_batches(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[p
     yield linked(keys, fps)
 
 
+def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) that span the families of distinct fingerprints (fp)."""
+    near = distinct.select("fp").mapInArrow(anchor_batches, "anchor long, fp long")
+    near = near.repartition(shuffle_partitions(distinct.sparkSession), "anchor").sortWithinPartitions("anchor", "fp")
+    return near.mapInArrow(lambda x: link_batches(x, distance), "a long, b long")
+
+
 def families(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, component_id) from (doc_id, fp): the smallest doc_id that links lead to."""
-    spark = prints.sparkSession
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    near = distinct.select("fp").mapInArrow(anchor_batches, "anchor long, fp long")
-    near = near.repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "fp")
-    roots = components(near.mapInArrow(lambda x: link_batches(x, distance), "a long, b long"), "near")
+    roots = components(fingerprint_links(distinct, distance), "near")
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     return rooted.join(smallest, "root").select("fp", "component_id")
