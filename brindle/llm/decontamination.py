@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import bounded_batches, table
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("11111", "1101011", "110010011", "10110101", "1010010011")
@@ -154,6 +154,7 @@ def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document and item whose words overlap, with the best place."""
+    bounded_batches(docs.sparkSession)
     sc, found = docs.sparkSession.sparkContext, None
     for items in blocks_of(benchmark, block_chars):
         shared = sc.broadcast(Block(items))
@@ -164,6 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all their columns, that overlap with no item."""
+    bounded_batches(docs.sparkSession)
     sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
     for items in blocks_of(benchmark, block_chars):
         shared = sc.broadcast(Block(items))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import components, materialize, shuffle_partitions, table
+from brindle.llm.common import bounded_batches, components, materialize, shuffle_partitions, table
 
 THRESHOLD = 0.95
 #: The rotation is learned from at most so many distinct vectors.
@@ -130,6 +130,7 @@ def rerank_batches(batches: Iterator[pa.RecordBatch], dims: int, threshold: floa
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id) for every row of (vec_id, embedding)."""
+    bounded_batches(vectors.sparkSession)
     number = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(number, lambda x: x != 0)
     rows = materialize(vectors.select("vec_id", F.when(fine, number).alias("embedding")), "vectors")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import table
+from brindle.llm.common import bounded_batches, table
 from brindle.llm.labelled import Adam, held_out, learning_sample, sigmoid
 
 #: At most so many labelled documents of label 0 and of label 1 are learned from.
@@ -122,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: tupl
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score) for every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(lambda x: score_batches(x, shared.value), "doc_id long, held_out boolean, score double")
 

@@ -4,8 +4,8 @@ A word is the average of the vectors of itself and of its character 3- to
 5-grams, hashed into one table, so a misspelling shares most of its vector
 with the word it hides. A passage (some words in a row, overlapping by half)
 is the average of its words; a linear softmax gives its two classes, and the
-document is as toxic as its worst passages (a log-mean of the exponentials,
-nearly the maximum), however long it is. Vectors and softmax are trained
+document is as toxic as its worst passages (a log-sum of the exponentials:
+nearly the maximum, and n passages alike raise it by log(n) / 8). Vectors and softmax are trained
 jointly in numpy on a bounded sample of labelled documents outside the
 held-out fold; a linear model of averages needs one number a word to score.
 
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import table
+from brindle.llm.common import bounded_batches, table
 from brindle.llm.labelled import Adam, held_out, learning_sample, sigmoid
 
 #: At most so many labelled documents of label 0 and of label 1 are learned from.
@@ -154,8 +154,8 @@ class Contributions(dict):
             self.update(zip(new, (np.bincount(who, self.value[rows]) / np.bincount(who)).tolist()))
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], model: Model, rows: int = 128) -> Iterator[pa.RecordBatch]:
-    known = Contributions(model.value)
+def score_batches(batches: Iterator[pa.RecordBatch], model: Model, rows: int = 128, known: Contributions | None = None) -> Iterator[pa.RecordBatch]:
+    known = Contributions(model.value) if known is None else known
     for batch in batches:
         scores = []
         for at in range(0, batch.num_rows, rows):
@@ -171,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score) for every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(lambda x: score_batches(x, shared.value), "doc_id long, held_out boolean, score double")
 
@@ -179,10 +180,13 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """The rows of ``docs``, all their columns, that score under ``threshold``."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
+    bounded_batches(docs.sparkSession)
+
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Contributions(shared.value.value)
         for batch in batches:
             numbered = pa.record_batch([pa.nulls(batch.num_rows), batch.column(at), pa.nulls(batch.num_rows)], names=["doc_id", "text", "held_out"])
-            for scores in score_batches(iter([numbered]), shared.value):
+            for scores in score_batches(iter([numbered]), shared.value, known=known):
                 yield batch.filter(pa.array(scores.column(2).to_numpy() < threshold))
 
     return docs.mapInArrow(kept, docs.schema)
