@@ -6,9 +6,13 @@ takes logarithmically many steps, and neighbours that agree over a whole
 window are then verified byte by byte.
 
 Sorting every suffix of the corpus would move each byte many times; so
-suffixes are first brought together by an anchor (see ``windows``), equal
-stretches are settled by their hashes and length, and only the suffixes of
-stretches that share an anchor and differ somewhere are sorted, in buckets.
+suffixes are first brought together by an anchor (see ``windows``). Stretches
+around one anchor whose prefix hashes agree over their whole length have that
+as their common extension; they are settled by it, and verified by a 128-bit
+digest of their bytes, read again in place. The suffixes of stretches that
+share an anchor and differ somewhere are sorted, in buckets, where windows
+whose hash nothing in the bucket shares are left out first. Where a hash turns
+out to have collided, bytes are compared instead.
 
 A byte is removed if a string of 50 bytes over it also starts in a document
 with a smaller doc_id, judged on the input. Defined cases: a null text counts
@@ -29,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import shuffle_partitions, table
-from brindle.llm.windows import KEY, OPEN, Units, judged, place, powers, prefix_hashes, send_open, tagged, with_places
+from brindle.llm.windows import CHECKS, COVERED, KEY, OPEN, Units, by_gram, check_columns, digests, judged, lists, place, powers, prefix_hashes, send_open, stretch_hashes, tagged, verified, with_places
 
 WINDOW = 50
+#: Bits of prefix hashes that comparisons look at; fewer only in tests, to make collisions.
+MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 BYTES = Units(WINDOW, 16, False, lambda text: text, lambda text: np.frombuffer(text, np.uint8).astype(np.uint64), bytes)
 
 
@@ -48,7 +54,7 @@ class Suffixes:
         pa_, pb, ia, ib = self.prefix[a], self.prefix[b], self.inverse[a], self.inverse[b]
         while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            same = (self.prefix[a + mid] - pa_) * ia == (self.prefix[b + mid] - pb) * ib
+            same = ((self.prefix[a + mid] - pa_) * ia ^ (self.prefix[b + mid] - pb) * ib) & MASK == 0
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
@@ -79,16 +85,20 @@ class Suffixes:
             idx, run = moved, run * 2
         return idx
 
-    def equal(self, a: np.ndarray, b: np.ndarray, rows: int = 65_536) -> np.ndarray:
-        """Whether whole windows are equal: by hash, then verified byte by byte."""
+    def equal(self, a: np.ndarray, b: np.ndarray, rows: int = 65_536) -> tuple[np.ndarray, bool]:
+        """Whether whole windows are equal: by hash, then verified byte by byte; and whether a hash collided."""
         out = self.common(a, b) == self.limit
         maybe, step = np.flatnonzero(out), np.arange(self.limit)
         for i in range(0, len(maybe), rows):
             m = maybe[i : i + rows]
             out[m] = (self.buffer[a[m][:, None] + step] == self.buffer[b[m][:, None] + step]).all(1)
-        if len(maybe) and not out[maybe].all():
-            raise ArithmeticError("a 64-bit prefix hash collided")
-        return out
+        return out, not out[maybe].all()
+
+    def order_by_bytes(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices that sort each segment, and whether each equals the one before it, without hashes."""
+        keys = [(f, self.buffer[i : i + self.limit].tobytes()) for f, i in zip(first.tolist(), at.tolist())]
+        idx = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+        return idx, np.array([False, *(keys[i] == keys[j] for i, j in zip(idx, idx[1:]))])
 
 
 def covered_windows(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, pieces: list[bytes]) -> np.ndarray:
@@ -101,20 +111,25 @@ def covered_windows(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, pieces: l
     nth = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
     _, rank = np.unique(gram, return_inverse=True)
     bucket = rank[piece] * 128 + offset[piece] - nth  # equal windows have the anchor at one place
-    order = np.argsort(bucket, kind="stable")
-    piece, nth, bucket = piece[order], nth[order], bucket[order]
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
-    size = np.repeat(np.diff(edge), np.diff(edge))
-    several = size > 1
-    piece, nth, size = piece[several], nth[several], size[several]
-    if not len(piece):
-        return np.zeros(len(pieces), np.int64)
-    heads = np.flatnonzero(np.concatenate([[True], bucket[several][1:] != bucket[several][:-1]]))
-    first = np.repeat(heads, np.diff(np.append(heads, len(piece))))
     suffixes, where = Suffixes(buffer, WINDOW), base[piece] + nth
+    whole = stretch_hashes(suffixes.prefix, where, where + WINDOW)
+    order = np.lexsort((whole, bucket))
+    runs = np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (whole[order][1:] != whole[order][:-1])]) if len(order) else np.zeros(0, bool)
+    heads, own = np.flatnonzero(runs), doc[piece[order]]
+    between = np.minimum.reduceat(own, heads) < np.maximum.reduceat(own, heads) if len(heads) else runs
+    order = order[between[np.cumsum(runs) - 1]] if len(heads) else order  # others have no equal in another document
+    if not len(order):
+        return np.zeros(len(pieces), np.int64)
+    piece, nth, bucket, where = piece[order], nth[order], bucket[order], where[order]
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    size = np.diff(np.append(heads, len(piece)))
+    first, size = np.repeat(heads, size), np.repeat(size, size)
     idx = suffixes.order(where, first, size)
-    same = np.zeros(len(idx), bool)
-    same[1:] = (first[idx][1:] == first[idx][:-1]) & suffixes.equal(where[idx][1:], where[idx][:-1])
+    same, collided = np.zeros(len(idx), bool), False
+    same[1:], collided = suffixes.equal(where[idx][1:], where[idx][:-1])
+    same[1:] &= first[idx][1:] == first[idx][:-1]
+    if collided:
+        idx, same = suffixes.order_by_bytes(where, first)
     starts = np.flatnonzero(~same)
     low = np.repeat(np.minimum.reduceat(doc[piece[idx]], starts), np.diff(np.append(starts, len(idx))))
     hit = idx[doc[piece[idx]] > low]
@@ -124,37 +139,24 @@ def covered_windows(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, pieces: l
 
 
 def compare_batches(batches: Iterator[pa.RecordBatch], most: int = 16_384) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, at, covered) of the pieces of which some windows are covered.
-
-    Whole grams are compared at a time, about ``most`` pieces, or one gram's if those are more.
-    """
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    order = np.argsort(t.column("gram").to_numpy(), kind="stable")
-    gram = t.column("gram").to_numpy()[order]
-    heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    cuts = np.unique(np.append(heads[np.searchsorted(heads, np.arange(0, len(gram), most), "right") - 1], len(gram)))
-    for i, j in zip(cuts, cuts[1:]):
-        part = t.take(pa.array(order[i:j]))
-        doc, at = (part.column(c).to_numpy() for c in ("doc_id", "at"))
-        bits = covered_windows(gram[i:j], doc, at, part.column("piece").to_pylist())
+    """(doc_id, tag, at, covered) of the pieces of which some windows are covered, from rows sorted by gram."""
+    for t in by_gram(batches, most):
+        gram, doc, at = (t.column(c).to_numpy() for c in ("gram", "doc_id", "at"))
+        bits = covered_windows(gram, doc, at, t.column("piece").to_pylist())
         keep = bits != 0
-        yield pa.record_batch([pa.array(doc[keep]), pa.array(part.column("tag").to_numpy()[keep]), pa.array(at[keep]), pa.array(bits[keep])], names=["doc_id", "tag", "at", "covered"])
+        yield pa.record_batch([pa.array(doc[keep]), pa.array(t.column("tag").to_numpy()[keep]), pa.array(at[keep]), pa.array(bits[keep])], names=["doc_id", "tag", "at", "covered"])
 
 
-def removed_mask(n: int, ats: list[int] | None, open_ats: list[int] | None, bits: list[int] | None, window: int) -> np.ndarray:
+def removed_mask(n: int, ats: np.ndarray, open_ats: np.ndarray, bits: np.ndarray, window: int) -> np.ndarray:
     """Which of ``n`` units are removed."""
     edge = np.zeros(n + 1, np.int32)
-    whole = np.array([x for x in ats or () if x & 1 != OPEN], np.int64)
-    if len(whole):
-        start, _, windows, _ = place(whole)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + windows - 1 + window, -1)
-    if open_ats:
-        start = np.array(open_ats, np.int64) >> 16
-        which, nth = np.nonzero(np.array(bits, np.int64)[:, None] >> np.arange(64) & 1)
+    start, _, windows, role = place(ats)
+    whole = role == COVERED
+    np.add.at(edge, start[whole], 1)
+    np.add.at(edge, start[whole] + windows[whole] - 1 + window, -1)
+    if len(open_ats):
+        start = open_ats >> 20
+        which, nth = np.nonzero(bits[:, None] >> np.arange(64) & 1)
         np.add.at(edge, start[which] + nth, 1)
         np.add.at(edge, start[which] + nth + window, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -169,54 +171,84 @@ def whole_characters(raw: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (np.bincount(char, mask) == np.bincount(char))[char]
 
 
-def digest_batches(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            out = []
-            for doc, text, *found in zip(*(batch.column(c).slice(i, rows).to_pylist() for c in ("doc_id", "text", "ats", "open_ats", "bits"))):
-                mask = removed_mask(len(text), *found, WINDOW)
-                kept = np.frombuffer(text, np.uint8)[~mask].tobytes()
-                spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
-                out.append((doc, len(text), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=names)
-
-
-def clean_batches(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+def judged_rows(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray], list[pa.Array]]]:
+    """(rows, texts, masks of removed bytes, columns of ``CHECKS``), a few rows at a time."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
-            part, texts = batch.slice(i, rows), []
-            for text, *found in zip(*(part.column(c).to_pylist() for c in ("text", "ats", "open_ats", "bits"))):
-                raw = np.frombuffer(text, np.uint8)
-                texts.append(raw[~whole_characters(raw, removed_mask(len(text), *found, WINDOW))].tobytes())
-            yield pa.record_batch([part.column("doc_id"), part.column("tag"), pa.array(texts, pa.binary())], names=["doc_id", "tag", "kept"])
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, text, ats, open_ats, bits) for every row: what is covered in it."""
-    base = tagged(docs)
-    state = with_places(base, judged(base, BYTES))
+            part = batch.slice(i, rows)
+            texts, masks, paths, found = part.column("text").to_pylist(), [], [], []
+            for text, ats, own, open_ats, bits in zip(texts, *(lists(part.column(c)) for c in ("ats", "paths", "open_ats", "bits"))):
+                masks.append(removed_mask(len(text), ats, open_ats, bits, WINDOW))
+                start, _, windows, role = place(ats)
+                settled = role != OPEN
+                paths.append(own[settled])
+                found.append(digests([text[a:b] for a, b in zip(start[settled].tolist(), (start + windows - 1 + WINDOW)[settled].tolist())]))
+            yield part, texts, masks, check_columns(paths, found)
+
+
+def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in f"{DIGESTS}, {CHECKS}".split(", ")]
+    for part, texts, masks, checks in judged_rows(batches):
+        kept = [hashlib.sha256(np.frombuffer(t, np.uint8)[~m].tobytes()).hexdigest() for t, m in zip(texts, masks)]
+        spans = [int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()) for m in masks]
+        cols = [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (list(map(len, texts)), [int(m.sum()) for m in masks], spans)), pa.array(kept, pa.string())]
+        yield pa.record_batch([*cols, *checks], names=names)
+
+
+def clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts, masks, checks in judged_rows(batches):
+        kept = []
+        for text, mask in zip(texts, masks):
+            raw = np.frombuffer(text, np.uint8)
+            kept.append(raw[~whole_characters(raw, mask)].tobytes())
+        yield pa.record_batch([part.column("rest"), pa.array(kept, pa.binary()), *checks], names=["rest", "kept", "paths", "lows", "highs"])
+
+
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def repeats(docs: DataFrame, suspects: DataFrame | None = None, carried: list[str] = (), units: Units = BYTES) -> DataFrame:
+    """(doc_id, tag, text, ats, paths, open_ats, bits), and ``carried`` columns in ``rest``, for every row: what is covered in it."""
+    base = tagged(docs, carried)
+    state = with_places(base, judged(base, units, suspects))
     n = shuffle_partitions(docs.sparkSession)
-    sent = state.mapInArrow(lambda x: send_open(x, BYTES), "gram long, doc_id long, tag int, at long, piece binary")
-    found = sent.repartition(n, "gram").mapInArrow(compare_batches, "doc_id long, tag int, at long, covered long")
+    sent = state.select(*KEY, "text", "ats").mapInArrow(lambda x: send_open(x, units), "gram long, doc_id long, tag long, at long, piece binary")
+    found = sent.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compare_batches, "doc_id long, tag long, at long, covered long")
     found = found.groupBy(*KEY).agg(F.collect_list(F.struct("at", "covered")).alias("open"))
-    return state.join(found, KEY, "left").select(*KEY, "text", "ats", F.col("open.at").alias("open_ats"), F.col("open.covered").alias("bits"))
+    return state.join(found, KEY, "left").select(*state.columns, F.col("open.at").alias("open_ats"), F.col("open.covered").alias("bits"))
+
+
+def removed(docs: DataFrame, units: Units = BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
+    return verified(lambda suspects: (repeats(docs, suspects, units=units).mapInArrow(digest_batches, f"{DIGESTS}, {CHECKS}"), lambda wrong: wrong), "removed")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated strings cut out of ``text``, only whole characters; n_chars, if there, follows."""
-    kept = repeats(docs.where("doc_id is not null")).mapInArrow(clean_batches, "doc_id long, tag int, kept binary").dropDuplicates(KEY)
-    kept = kept.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("kept").cast("string").alias("_kept"))
     rest = [c for c in docs.columns if c != "text"]
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    left = docs.where("doc_id is not null").select(F.struct(*rest).alias("_rest"), F.hash(text).alias("_own"), F.col("text").isNull().alias("_null"))
-    out = left.join(kept, (F.col("_rest.doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_tag")))
-    cut = {c: F.col(f"_rest.{c}") for c in rest} | {"text": F.when(~F.col("_null"), F.col("_kept"))}
+    kind = tagged(docs.limit(0), rest).schema["rest"].dataType.simpleString()
+    schema = f"rest {kind}, kept binary, {CHECKS}"
+    out = verified(lambda suspects: (repeats(docs, suspects, rest).mapInArrow(clean_batches, schema), lambda wrong: wrong), "cleaned")
+    kept = F.col("kept").cast("string")
+    cut = {c: F.col(f"rest.own.`{c}`") for c in rest} | {"text": F.when(~F.col("rest.absent"), kept)}
     if "n_chars" in rest:
-        cut["n_chars"] = F.coalesce(F.length("_kept"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[cut[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+        cut["n_chars"] = F.when(F.col("doc_id").isNull(), cut["n_chars"]).otherwise(F.coalesce(F.length(kept), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    out = out.withColumn("doc_id", F.col("rest.own.doc_id"))
+    return out.select(*[cut[c].alias(c) for c in docs.columns])
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = repeats(table(spark, sf_dir, "documents"))
-    return docs.mapInArrow(digest_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+bytes AS (SELECT doc_id, unnest(b) AS byte, generate_subscripts(b, 1) AS i FROM d),
+windows AS (SELECT doc_id, i, byte, CASE WHEN count(*) OVER near = 50 THEN string_agg(byte, '') OVER near END AS w FROM bytes WINDOW near AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+judged AS (SELECT doc_id, i, byte, w IS NOT NULL AND min(doc_id) OVER (PARTITION BY w) < doc_id AS starts FROM windows),
+marked AS (SELECT doc_id, i, byte, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM judged),
+turned AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS span FROM marked),
+docs AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (span) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM turned GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN docs USING (doc_id)
+"""

@@ -8,19 +8,26 @@ pieces are brought together by the hash of their anchor's gram:
 1. ``cut_pieces``: each document's pieces, as packed columns, one binary a
    receiving task instead of a row a piece (about 19 bytes a piece and one
    piece for 9 to 18 units).
-2. ``judge_pieces``: among pieces of one anchor gram, those equal to a piece of
-   an earlier place are *covered* whole; where pieces differ, the first of each
-   kind is *open* and asks for its text. All others are unique.
+2. ``judge_pieces``: among pieces of one anchor gram, those of one hash are one
+   *kind*. The first of a kind that occurs again is a *source*, the others are
+   *covered* whole; where a gram has several kinds, the first of each is *open*
+   and asks for its text. All other pieces are unique.
 3. ``send_open``: the text of open pieces only, to be compared exactly, window
-   by window, by the operator that uses this search.
+   by window, by the operator that uses this search. A gram with more than
+   ``hot_kinds`` kinds is split: its pieces go as single windows, dealt by the
+   hash of the window, so no task gets a gram that many texts vary around.
+4. ``verified``: every source and covered stretch is read again at its place,
+   and 128-bit digests of the text itself are compared. Kinds whose hash brought
+   different texts together are taken apart and compared exactly like open ones.
 
 A piece is at most 2 W units long, whatever the text; a long document is cut
 into segments that overlap by a window. A document is known by its doc_id and
-a tag of its text, so rows that share a doc_id are kept apart.
+a 64-bit tag of its text, so rows that share a doc_id are kept apart.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, shuffle_partitions
+from brindle.llm.common import bounded_batches, materialize, shuffle_partitions
 
 #: Units that are looked at together, and the most in one segment.
 CHUNK, SEGMENT = 1 << 21, 1 << 20
@@ -37,7 +44,8 @@ PLACE_BITS = 24
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
 KEY = ["doc_id", "tag"]
-COVERED, OPEN = 0, 1
+COVERED, OPEN, SOURCE = 0, 1, 2
+JUDGED = "doc_id long, tag long, at long, path long"
 
 
 @dataclass(frozen=True)
@@ -50,6 +58,8 @@ class Units:
     split: Callable[[bytes], object]  # the text as something that slices
     numbers: Callable[[object], np.ndarray]  # a 64-bit number for each unit
     join: Callable[[object], bytes]  # a slice as text
+    bits: int = 64  # of the hash of a piece; fewer only in tests, to make collisions
+    hot_kinds: int = 256  # of one gram that meet in one task; beyond, its windows are dealt one by one
 
 
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64),) * 2
@@ -112,7 +122,7 @@ def pieces_of(units: np.ndarray, ends: np.ndarray, spec: Units) -> dict[str, np.
     windows = np.flatnonzero(stop & valid) - start + 1
     offset = anchor[start] - start
     text = stretch_hashes(prefix_hashes(units), start, start + windows - 1 + w)
-    return {"start": start, "offset": offset, "windows": windows, "gram": gram[anchor[start]] >> np.uint64(16), "text": mixed(text + windows.astype(np.uint64) * MIX + offset.astype(np.uint64))}
+    return {"start": start, "offset": offset, "windows": windows, "gram": gram[anchor[start]] >> np.uint64(16), "text": mixed(text + windows.astype(np.uint64) * MIX + offset.astype(np.uint64)) >> np.uint64(64 - spec.bits)}
 
 
 WIDTHS = (("gram", 6), ("text", 8), ("start", 5), ("offset", 1), ("windows", 1))
@@ -125,7 +135,7 @@ def packed(cols: dict[str, np.ndarray], docs: np.ndarray, tags: np.ndarray, doc_
     first = np.flatnonzero(np.concatenate([[True], doc_of[1:] != doc_of[:-1]]))
     own, runs = doc_of[first], np.diff(np.append(first, len(doc_of)))
     parts = [np.array([len(doc_of), len(own)], np.int64).tobytes()]
-    for a, width in [(docs[own], 8), (tags[own].astype(np.int64), 4), (runs, 4), *((cols[c], w) for c, w in WIDTHS)]:
+    for a, width in [(docs[own], 8), (tags[own], 8), (runs, 4), *((cols[c], w) for c, w in WIDTHS)]:
         parts.append(a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
     return zstandard.compress(b"".join(parts), 1)
 
@@ -138,18 +148,17 @@ def unpacked(data: bytes, only: str | None = None) -> dict[str, np.ndarray]:
     n, docs = (int(x) for x in raw[:16].view(np.int64))
     at = 16
 
-    def take(rows: int, width: int, signed: bool = False) -> np.ndarray:
+    def take(rows: int, width: int) -> np.ndarray:
         nonlocal at
         out = np.zeros((rows, 8), np.uint8)
         out[:, :width] = raw[at : at + rows * width].reshape(width, rows).T
         at += rows * width
-        out = out.view(np.int64)[:, 0]
-        return out.astype(np.int32).astype(np.int64) if signed else out
+        return out.view(np.int64)[:, 0]
 
     if only:
-        at += docs * 16
+        at += docs * 20
         return {only: take(n, dict(WIDTHS)[only])}
-    doc, tag, runs = take(docs, 8), take(docs, 4, True), take(docs, 4)
+    doc, tag, runs = take(docs, 8), take(docs, 8), take(docs, 4)
     out = {c: take(n, w) for c, w in WIDTHS}
     return out | {"doc": np.repeat(doc, runs), "tag": np.repeat(tag, runs)}
 
@@ -194,8 +203,8 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], spec: Units, buckets: list[int
         yield done(held)
 
 
-def judge_pieces(batches: Iterator[pa.RecordBatch], within: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, at, path) of the pieces that are covered or open; ``at`` packs place and kind."""
+def judge_pieces(batches: Iterator[pa.RecordBatch], spec: Units) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, at, path) of the pieces that occur again or are open; ``at`` packs place and role."""
     blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
     if not blobs:
         return
@@ -214,33 +223,37 @@ def judge_pieces(batches: Iterator[pa.RecordBatch], within: bool) -> Iterator[pa
     p["shape"] = p["offset"] << 8 | p["windows"]
     order = np.lexsort((p["start"], p["doc"], p["shape"], p["text"], p["gram"]))
     p = {c: x[order] for c, x in p.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = (p["gram"][1:] != p["gram"][:-1]) | (p["text"][1:] != p["text"][:-1]) | (p["shape"][1:] != p["shape"][:-1])
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)[group]
-    covered = p["doc"] > p["doc"][first]
-    if within:
-        covered |= (p["doc"] == p["doc"][first]) & (p["start"] > p["start"][first])
     starts = np.ones(len(order), bool)
     starts[1:] = p["gram"][1:] != p["gram"][:-1]
-    at_gram = np.flatnonzero(starts)
-    of_gram = np.cumsum(starts) - 1
-    several = np.add.reduceat(new.astype(np.int64), at_gram) > 1 if len(at_gram) else np.zeros(0, bool)
-    if not within and len(at_gram):
+    new = starts.copy()
+    new[1:] |= (p["text"][1:] != p["text"][:-1]) | (p["shape"][1:] != p["shape"][:-1])
+    heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+    lasts = np.append(heads[1:], len(order)) - 1
+    first_doc = p["doc"][heads][group]
+    lead = new if spec.within else p["doc"] == first_doc  # what no equal piece covers
+    again = (lasts > heads if spec.within else p["doc"][lasts] > p["doc"][heads])[group]
+    at_gram, of_gram = np.flatnonzero(starts), np.cumsum(starts) - 1
+    kinds = np.add.reduceat(new.astype(np.int64), at_gram)
+    several = kinds > 1
+    if not spec.within:
         several &= np.minimum.reduceat(p["doc"], at_gram) < np.maximum.reduceat(p["doc"], at_gram)
-    open_ = ~covered & several[of_gram] if len(at_gram) else covered
-    keep = covered | open_
-    kind = np.where(covered, COVERED, OPEN)
-    at = (p["start"] << 16 | p["offset"] << 9 | p["windows"] << 1 | kind)[keep]
-    path = mixed(p["text"][keep].view(np.uint64) ^ p["gram"][keep].view(np.uint64)).view(np.int64)
-    for i in range(0, len(at), 50_000):
-        j = slice(i, i + 50_000)
-        yield pa.record_batch([pa.array(p["doc"][keep][j]), pa.array(p["tag"][keep][j].astype(np.int32)), pa.array(at[j]), pa.array(path[j])], names=["doc_id", "tag", "at", "path"])
+    hot = (kinds > spec.hot_kinds)[of_gram].astype(np.int64)
+    rows = [(np.flatnonzero(again), np.where(lead, SOURCE, COVERED)), (np.flatnonzero(lead & several[of_gram]), np.full(len(order), OPEN))]
+    at = p["start"] << 20 | p["offset"] << 12 | p["windows"] << 4 | hot << 3
+    path = mixed(p["text"].view(np.uint64) ^ p["gram"].view(np.uint64)).view(np.int64)
+    for found, role in rows:
+        for i in range(0, len(found), 50_000):
+            j = found[i : i + 50_000]
+            yield pa.record_batch([pa.array(p["doc"][j]), pa.array(p["tag"][j]), pa.array(at[j] | role[j]), pa.array(path[j])], names=["doc_id", "tag", "at", "path"])
 
 
 def place(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, anchor's offset, windows, kind)."""
-    return at >> 16, at >> 9 & 127, at >> 1 & 255, at & 1
+    """(start, anchor's offset, windows, role)."""
+    return at >> 20, at >> 12 & 255, at >> 4 & 255, at & 7
+
+
+def role_of(at: str = "at"):
+    return F.col(at).bitwiseAND(7)
 
 
 def bucket_ids(spark: SparkSession, n: int) -> list[int]:
@@ -250,43 +263,113 @@ def bucket_ids(spark: SparkSession, n: int) -> list[int]:
     return [found[p] for p in sorted(found)]
 
 
-def judged(docs: DataFrame, spec: Units) -> DataFrame:
-    """(doc_id, tag, at, path) for docs (doc_id, tag, text as binary); null doc_ids take no part."""
+def judged(docs: DataFrame, spec: Units, suspects: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tag, at, path) for docs (doc_id, tag, text as binary); null doc_ids take no part.
+
+    Pieces of ``suspects`` (path) are open, every one.
+    """
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    bounded_batches(spark)
     buckets = bucket_ids(spark, n)
-    cut = docs.where("doc_id is not null").mapInArrow(lambda x: cut_pieces(x, spec, buckets), "bucket long, pieces binary")
-    within = spec.within
-    return materialize(cut.repartition(n, "bucket").mapInArrow(lambda x: judge_pieces(x, within), "doc_id long, tag int, at long, path long"), "judged")
+    cut = docs.where("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(lambda x: cut_pieces(x, spec, buckets), "bucket long, pieces binary")
+    known = materialize(cut.repartition(n, "bucket").mapInArrow(lambda x: judge_pieces(x, spec), JUDGED), "judged")
+    if suspects is None:
+        return known
+    apart = known.join(suspects, "path", "left_semi").withColumn("at", F.col("at").bitwiseAND(~7).bitwiseOR(OPEN)).distinct()
+    return known.join(suspects, "path", "left_anti").unionByName(apart)
 
 
 def send_open(batches: Iterator[pa.RecordBatch], spec: Units, rows: int = 64) -> Iterator[pa.RecordBatch]:
     """(gram, doc_id, tag, at, piece) of open pieces, from (doc_id, tag, text, ats)."""
     import xxhash
 
+    hashed = xxhash.xxh64_intdigest
     names = ["gram", "doc_id", "tag", "at", "piece"]
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             out = []
             for doc, tag, text, ats in zip(*(batch.column(c).slice(i, rows).to_pylist() for c in range(4))):
-                asked = [x for x in ats or () if x & 1 == OPEN]
+                asked = [x for x in ats or () if x & 7 == OPEN]
                 if asked:
                     seq = spec.split(text or b"")
                     for x in asked:
-                        start, offset, windows = x >> 16, x >> 9 & 127, x >> 1 & 255
-                        gram = xxhash.xxh64_intdigest(spec.join(seq[start + offset : start + offset + spec.gram])) >> 1
-                        out.append((gram, doc, tag, x, spec.join(seq[start : start + windows - 1 + spec.window])))
+                        start, offset, windows = x >> 20, x >> 12 & 255, x >> 4 & 255
+                        if x >> 3 & 1:  # a hot gram
+                            for k in range(windows):
+                                window = spec.join(seq[start + k : start + k + spec.window])
+                                out.append((hashed(window) >> 1, doc, tag, (start + k) << 20 | (offset - k) << 12 | 1 << 4 | OPEN, window))
+                        else:
+                            gram = hashed(spec.join(seq[start + offset : start + offset + spec.gram])) >> 1
+                            out.append((gram, doc, tag, x, spec.join(seq[start : start + windows - 1 + spec.window])))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
-def with_places(docs: DataFrame, judged_: DataFrame, name: str = "ats") -> DataFrame:
-    """docs with the places of their pieces as one array."""
-    ats = judged_.groupBy(*KEY).agg(F.collect_list("at").alias(name))
-    return docs.join(ats, KEY, "left").select("doc_id", "tag", "text", name)
+def by_gram(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by gram, cut between grams into tables of about ``most`` rows (more only for one gram)."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            t = pa.Table.from_batches(held)
+            gram = t.column("gram").to_numpy()
+            done = int(np.searchsorted(gram, gram[-1]))
+            if done:
+                yield t.slice(0, done)
+                held, rows = t.slice(done).to_batches(), t.num_rows - done
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def with_places(docs: DataFrame, judged_: DataFrame, how: str = "left") -> DataFrame:
+    """docs with the places of their pieces, and the pieces' paths, as arrays."""
+    found = judged_.groupBy(*KEY).agg(F.collect_list(F.struct("at", "path")).alias("found"))
+    return docs.join(found, KEY, how).select(*docs.columns, F.col("found.at").alias("ats"), F.col("found.path").alias("paths"))
+
+
+def tagged(docs: DataFrame, carried: list[str] = ()) -> DataFrame:
+    """(doc_id, tag, text as binary, null as empty), and ``carried`` columns, with ``absent`` for a null text, in a struct ``rest``."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
+    rest = [F.struct(*[F.struct(*carried).alias("own")] * bool(carried), F.col("text").isNull().alias("absent")).alias("rest")] if carried else []
+    return docs.select("doc_id", F.xxhash64(text).alias("tag"), text.alias("text"), *rest)
+
 
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a column of arrays of numbers; null as empty."""
+    values, edge = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(edge, edge[1:])]
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, text as binary, null as empty)."""
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    return docs.select("doc_id", F.hash(text).alias("tag"), text.alias("text"))
+
+def digests(parts: list[bytes]) -> np.ndarray:
+    """(low, high) of the 128-bit digest of each."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+
+
+CHECKS = "paths array<long>, lows array<long>, highs array<long>"
+
+
+def check_columns(paths: list[np.ndarray], found: list[np.ndarray]) -> list[pa.Array]:
+    """Columns of ``CHECKS`` for some rows."""
+    return [pa.array(paths, pa.list_(pa.int64())), *(pa.array([x[:, k] for x in found], pa.list_(pa.int64())) for k in (0, 1))]
+
+
+def verified(build: Callable[[DataFrame | None], tuple[DataFrame, Callable[[DataFrame], DataFrame]]], name: str) -> DataFrame:
+    """The table that ``build`` makes, with one text behind each of its paths.
+
+    ``build`` takes the paths known to stand for several texts (None at first)
+    and returns a table with ``CHECKS`` and a function from wrong checks (path)
+    to the paths of pieces to take apart. One round, unless a hash collided.
+    """
+    suspects = None
+    while True:
+        made, pieces_of_checks = build(suspects)
+        out = materialize(made, name)
+        each = out.select(F.explode(F.arrays_zip("paths", "lows", "highs")).alias("c")).select(F.col("c.paths").alias("path"), F.col("c.lows").alias("low"), F.col("c.highs").alias("high"))
+        several = each.groupBy("path").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("low", "high")])
+        wrong = materialize(several.where("min_low <> max_low OR min_high <> max_high").select("path"), "collided")
+        if not wrong.take(1):
+            return out.drop("paths", "lows", "highs")
+        wrong = materialize(pieces_of_checks(wrong), "collided")
+        suspects = wrong if suspects is None else suspects.union(wrong)
