@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.chat import OP5_SQL, op5_chat_formatting
-from brindle.llm.debruijn import op10_debruijn_substring_dedup
+from brindle.llm.debruijn import OP10_SQL, op10_debruijn_substring_dedup
 from brindle.llm.decontamination import op1_spaced_seed_decontamination
-from brindle.llm.embeddings import op3_embedding_near_duplicates
+from brindle.llm.embeddings import OP3_SQL, op3_embedding_near_duplicates
 from brindle.llm.packing import op7_best_fit_packing
 from brindle.llm.quality import op9_passage_attention_quality
 from brindle.llm.sharding import op6_balanced_sharding
 from brindle.llm.simhash import op8_simhash_near_duplicates
-from brindle.llm.suffixes import op2_suffix_array_dedup
+from brindle.llm.suffixes import OP2_SQL, op2_suffix_array_dedup
 from brindle.llm.toxicity import op4_subword_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,5 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_array_dedup": OP2_SQL,
+    "op3_embedding_near_duplicates": OP3_SQL,
     "op5_chat_formatting": OP5_SQL,
+    "op10_debruijn_substring_dedup": OP10_SQL,
 }

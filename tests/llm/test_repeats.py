@@ -1,10 +1,13 @@
 """Byte and word repeats against brute force."""
 
 import hashlib
+from dataclasses import replace
 
+import duckdb
 import numpy as np
+import pytest
 
-from brindle.llm import debruijn, suffixes, windows
+from brindle.llm import debruijn, queries, suffixes, windows
 
 
 def brute_bytes(rows, window=50):
@@ -23,7 +26,8 @@ def brute_bytes(rows, window=50):
                 gone[i + window] -= 1
         mask = np.cumsum(gone[:-1]) > 0
         kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-        out.setdefault(doc, set()).add((len(raw), int(mask.sum()), hashlib.sha256(kept).hexdigest()))
+        spans = int(np.diff(np.concatenate([[0], mask.astype(int)])).clip(0).sum())
+        out.setdefault(doc, set()).add((len(raw), int(mask.sum()), hashlib.sha256(kept).hexdigest(), spans))
     return out
 
 
@@ -47,40 +51,76 @@ def brute_words(rows, window=20):
     return out
 
 
-def check(got, want, size):
+def check(got, want, *columns):
     found = {}
     for r in got:
-        found.setdefault(r["doc_id"], set()).add((r[size], r["n_removed"], r["kept_sha256"]))
+        found.setdefault(r["doc_id"], set()).add(tuple(r[c] for c in columns))
     assert found == want
 
 
-def test_bytes(families):
-    got = suffixes.repeats(families).mapInArrow(suffixes.digest_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
-    want = brute_bytes([tuple(r) for r in families.select("doc_id", "text").collect()])
-    check(got, want, "n_bytes")
+def pairs_of(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+BYTES = ("n_bytes", "n_removed", "kept_sha256", "n_spans")
+WORDS = ("n_words", "n_removed", "kept_sha256")
+
+
+@pytest.mark.parametrize("more", [{}, {"bits": 3}, {"hot_kinds": 1}])  # as it is; hashes that collide; every gram split
+def test_bytes(families, more):
+    got = suffixes.removed(families, replace(suffixes.BYTES, **more)).collect()
+    check(got, brute_bytes(pairs_of(families)), *BYTES)
     assert sum(r.n_removed for r in got) > 0 and len(got) == families.count()
 
 
 def test_bytes_odd(odd, empty):
-    digest = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    got = suffixes.repeats(odd).mapInArrow(suffixes.digest_batches, digest).collect()
+    got = suffixes.removed(odd).collect()
     assert len(got) == odd.count()
-    check(got, brute_bytes([tuple(r) for r in odd.select("doc_id", "text").collect()]), "n_bytes")
-    assert suffixes.repeats(empty).mapInArrow(suffixes.digest_batches, digest).count() == 0
+    check(got, brute_bytes(pairs_of(odd)), *BYTES)
+    assert suffixes.removed(empty).count() == 0
 
 
-def test_words(families):
-    got = debruijn.repeats(families).mapInArrow(debruijn.digest_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string").collect()
-    check(got, brute_words([tuple(r) for r in families.select("doc_id", "text").collect()]), "n_words")
+@pytest.mark.parametrize("more", [{}, {"bits": 3}, {"hot_kinds": 1}])
+def test_words(families, more):
+    got = debruijn.removed(families, replace(debruijn.WORDS, **more)).collect()
+    check(got, brute_words(pairs_of(families)), *WORDS)
     assert sum(r.n_removed for r in got) > 0 and len(got) == families.count()
 
 
 def test_words_odd(odd, empty):
-    digest = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    got = debruijn.repeats(odd).mapInArrow(debruijn.digest_batches, digest).collect()
+    got = debruijn.removed(odd).collect()
     assert len(got) == odd.count()
-    check(got, brute_words([tuple(r) for r in odd.select("doc_id", "text").collect()]), "n_words")
-    assert debruijn.repeats(empty).mapInArrow(debruijn.digest_batches, digest).count() == 0
+    check(got, brute_words(pairs_of(odd)), *WORDS)
+    assert debruijn.removed(empty).count() == 0
+
+
+def test_compaction_decides(families, monkeypatch):
+    """Without chains nothing is removed; with uncompacted paths as chains the words are the same."""
+    whole = debruijn.chains
+    monkeypatch.setattr(debruijn, "chains", lambda found: whole(found).limit(0))
+    assert sum(r.n_removed for r in debruijn.removed(families).collect()) == 0
+
+
+def test_windows_of_colliding_hashes(monkeypatch):
+    rng = np.random.default_rng(9)
+    shared = bytes(rng.integers(97, 123, 80).astype(np.uint8))
+    pieces = [bytes(rng.integers(97, 123, 9).astype(np.uint8)) + shared[k : k + 55] for k in (0, 0, 3, 0, 9)]
+    gram, doc, at = np.zeros(5, np.int64), np.arange(5), np.array([i << 20 | 20 << 12 | 14 << 4 | windows.OPEN for i in range(5)])
+    want = suffixes.covered_windows(gram, doc, at, pieces)
+    assert want.any()
+    monkeypatch.setattr(suffixes, "MASK", np.uint64(1))
+    assert (suffixes.covered_windows(gram, doc, at, pieces) == want).all()
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_array_dedup", "op10_debruijn_substring_dedup", "op3_embedding_near_duplicates"])
+def test_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
 def test_segments_of_a_long_text(monkeypatch, families):
@@ -128,6 +168,9 @@ def test_cut_text_is_whole_characters(spark, odd):
 
 
 def test_chains_compact(spark):
-    occurrences = spark.createDataFrame([(d, 0, s, 3, p) for d in (1, 2) for s, p in ((0, 11), (3, 12), (6, 13))] + [(3, 0, 0, 3, 13), (3, 0, 3, 3, 99)], "doc_id long, tag int, start long, edges long, path long")
-    got = {r.path: r.chain for r in debruijn.chains(occurrences).collect()}
-    assert got[11] == got[12] == 13 or got[11] == got[12] == 99
+    """A chain of 70 paths is one; a path that also stands alone, or goes on otherwise, ends a chain."""
+    rows = [(d, 0, 3 * k, 3, 100 + k, 101 + k if k < 69 else None) for d in (1, 2) for k in range(70)]
+    rows += [(1, 0, 900, 3, 7, 8), (1, 0, 903, 3, 8, None), (2, 0, 900, 3, 7, 9), (2, 0, 903, 3, 9, None), (3, 0, 0, 3, 8, None), (3, 0, 9, 3, 9, None)]
+    found = spark.createDataFrame(rows, "doc_id long, tag long, start long, edges long, path long, next long")
+    got = {r.path: (r.chain, r.ahead) for r in debruijn.chains(found).collect()}
+    assert all(got[100 + k] == (100, 3 * k) for k in range(70)) and all(got[p] == (p, 0) for p in (7, 8, 9))
