@@ -11,8 +11,13 @@ Words are maximal runs of letters and digits, lower-cased. The benchmark goes
 to the executors in blocks of at most ``BLOCK_CHARS`` characters, each block
 against all documents, so what is broadcast is bounded however large it is.
 
-Defined cases: null and empty texts match nothing, nor do items of fewer words
-than the lightest mask looks at. Repeated rows are reported each; a null
+Items of under ``STRETCH`` words have lighter masks of their own, which find
+every item of 4 words or more with a fifth of its words replaced. A text and an
+item that repeat one word meet everywhere; such meetings are counted by where
+they lay the item, a bounded number at a time.
+
+Defined cases: null and empty texts match nothing, nor do items of under 4
+words. Repeated rows are reported each; a null
 doc_id is reported as null. Empty tables give an empty result. Extra columns
 are ignored.
 """
@@ -32,8 +37,12 @@ from brindle.llm.common import bounded_batches, table
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("11111", "1101011", "110010011", "10110101", "1010010011")
+#: For items of under ``STRETCH`` words: one word in five may differ, wherever it stands.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
 STRETCH, SHARE = 13, 0.8
 BLOCK_CHARS = 8_000_000
+#: Meetings of a text with items that are laid out at once.
+AT_ONCE = 1 << 20
 WORD = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, start_word long, n_words long, n_equal long, n_seeds long"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -78,34 +87,47 @@ class Block:
             begins.append((at, len(ids)))
             at += len(parts[-1])
         self.ids, self.begins = np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(begins, np.int64).reshape(-1, 2)
+        short = np.concatenate([np.full(len(p), n < STRETCH) for p, (_, n) in zip(parts, begins)]) if parts else np.zeros(0, bool)
         self.seeds = []
-        for mask in MASKS:
+        for mask, few in [*((m, False) for m in MASKS), *((m, True) for m in SHORT_MASKS)]:
             where, hashes = seeds(self.ids, mask)
+            if few:
+                where, hashes = where[short[where]], hashes[short[where]]
+            if not len(where):
+                continue
             order = np.argsort(hashes, kind="stable")
             hint = np.zeros(1 << 20, bool)
             hint[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.seeds.append((hashes[order], where[order], hint))
+            self.seeds.append((mask, hashes[order], where[order], hint))
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(position in ``ids``, position in the items), mask by mask."""
-        for mask, (hashes, where, hint) in zip(MASKS, self.seeds):
+    def meetings(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Mask by mask (positions in ``ids``, first and number of equal seeds, their positions in the items)."""
+        for mask, hashes, where, hint in self.seeds:
             at, found = seeds(ids, mask)
             maybe = hint[(found >> np.uint64(44)).astype(np.int64)]
             at, found = at[maybe], found[maybe]
             lo, hi = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
-            n = hi - lo
-            each = np.repeat(np.arange(len(at)), n)
-            yield at[each], where[lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)]
+            some = hi > lo
+            yield at[some], lo[some], (hi - lo)[some], where
+
+    def laid(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, where its first word would be) of all meetings, and how many seeds agree on each."""
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for at, lo, n, where in self.meetings(ids):
+            ends = np.cumsum(n)
+            for begin in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+                number = np.arange(begin, min(begin + AT_ONCE, int(ends[-1])))
+                each = np.searchsorted(ends, number, "right")
+                place = where[lo[each] + number - (ends - n)[each]]
+                item = np.searchsorted(self.begins[:, 0], place, "right") - 1
+                got, many = np.unique(item << 36 | at[each] - place + self.begins[item, 0] + (1 << 35), return_counts=True)
+                keys, back = np.unique(np.concatenate([keys, got]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, many])).astype(np.int64)
+        return np.stack([keys >> 36, (keys & (1 << 36) - 1) - (1 << 35)], 1), counts
 
     def verified(self, ids: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, start, words, equal, seeds) of the best place of each item in one text."""
-        both = [np.stack(x, 1) for x in self.hits(ids)]
-        met = np.concatenate(both) if both else np.zeros((0, 2), np.int64)
-        if not len(met):
-            return []
-        item = np.searchsorted(self.begins[:, 0], met[:, 1], "right") - 1
-        laid = np.stack([item, met[:, 0] - met[:, 1] + self.begins[item, 0]], 1)
-        laid, many = np.unique(laid, axis=0, return_counts=True)
+        laid, many = self.laid(ids)
         best: dict[int, tuple[int, int, int, int, int]] = {}
         for (i, start), n in zip(laid.tolist(), many.tolist()):
             begin, size = self.begins[i].tolist()
@@ -134,7 +156,7 @@ def search_batches(batches: Iterator[pa.RecordBatch], block: Block, rows: int =
             each = [list(map(number, WORD.findall(t.lower()))) if t else [] for t in part.column(1).to_pylist()]
             flat = np.array([x for ids in each for x in (*ids, *gap)], np.int64)
             ends = np.cumsum([len(x) + len(gap) for x in each])
-            met = [a for a, _ in block.hits(flat)]
+            met = [a for a, *_ in block.meetings(flat)]
             for k in np.unique(np.searchsorted(ends, np.concatenate(met), "right")) if met else ():
                 for row in block.verified(np.array(each[k], np.int64)):
                     for name, value in zip(names, (part.column(0)[int(k)].as_py(), *row)):
