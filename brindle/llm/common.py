@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,21 +30,55 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="brindle-", dir=os.environ.get("TMPDIR") or None)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Tables written inside each ``temporary`` that is open, innermost last.
+_written: list[list[str]] = []
+
+
+def materialize(df: DataFrame, name: str, stay: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so a lost executor never recomputes what stands above,
-    and fixes the outcome of anything not repeatable (numbering of ties).
+    and fixes the outcome of anything not repeatable (numbering of ties). With
+    ``stay`` the table outlives the innermost ``temporary``.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if len(_written) > stay:
+        _written[-1 - stay].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that no later step reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside go at the end, as do the shuffle files of its steps; what is used later must ``stay``."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_written.pop())
+        release_shuffles(spark)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver notice which shuffles nothing refers to; executors then delete their files."""
+    spark._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -99,7 +135,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         held = large.join(low, "a")
         small = held.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        links = materialize(small, name)
+        links, before = materialize(small, name), links
+        discard(edges.sparkSession, before.scratch_path)
         state = links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if state == last:
             break

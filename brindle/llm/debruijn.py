@@ -160,7 +160,7 @@ def removed(docs: DataFrame, units: Units = WORDS) -> DataFrame:
         wrong_paths = lambda wrong: chain.join(wrong.withColumnRenamed("path", "chain"), "chain", "left_semi").select("path")
         return state.mapInArrow(digest_batches, f"{DIGESTS}, {CHECKS}"), wrong_paths
 
-    return verified(build, "removed")
+    return verified(docs.sparkSession, build, "removed")
 
 
 def op10_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches, components, materialize, shuffle_partitions
+from brindle.llm.common import bounded_batches, components, materialize, shuffle_partitions, temporary
 from brindle.llm.simhash import DISTANCE, PIPELINE_SHINGLE_WORDS, fingerprint_links, majority
 
 SIMILARITY = 0.8
@@ -243,10 +243,10 @@ def near_links(texts: DataFrame, words: int = PIPELINE_SHINGLE_WORDS, similarity
     parts = shuffle_partitions(spark)
     seen = materialize(texts.mapInArrow(lambda x: print_batches(x, words), "of_key boolean, id long, n long"), "prints")
     prints = seen.where(~F.col("of_key")).select(F.col("id").alias("doc_id"), F.col("n").alias("fp"))
-    top = seen.where("of_key").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON).collect()  # bounded; orders the shingles
-    common = np.array([r["id"] for r in top], np.int64).view(np.uint64)
-    often = np.array([r["n"] for r in top], np.int64)[np.argsort(common)]
-    common.sort()
+    top = seen.where("of_key").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON).toArrow()  # bounded; orders the shingles
+    common = top.column("id").to_numpy().astype(np.int64).view(np.uint64)
+    often = top.column("n").to_numpy()[np.argsort(common)]
+    common = np.sort(common)
 
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts_of_prints")
     same = prints.join(firsts, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
@@ -272,11 +272,12 @@ def one_of_each(docs: DataFrame, words: int = PIPELINE_SHINGLE_WORDS, similarity
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     digest = F.unhex(F.md5(raw))
     known = docs.where("doc_id is not null")
-    firsts = materialize(known.select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    texts = known.select("doc_id", raw.alias("raw"), digest.alias("digest")).join(firsts, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "raw")
-    links = near_links(materialize(texts, "texts"), words, similarity)
-    later = components(links, "links").where("node <> root").select(F.col("node").alias("doc_id"))
-    keep = firsts.join(later, "doc_id", "left_anti")
+    with temporary(docs.sparkSession):
+        firsts = materialize(known.select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "firsts")
+        texts = known.select("doc_id", raw.alias("raw"), digest.alias("digest")).join(firsts, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "raw")
+        links = near_links(materialize(texts, "texts"), words, similarity)
+        later = components(links, "links").where("node <> root").select(F.col("node").alias("doc_id"))
+        keep = materialize(firsts.join(later, "doc_id", "left_anti"), "kept", stay=True)
     own = docs.columns
     out = known.withColumn("_digest", digest).join(keep.withColumnRenamed("digest", "_digest"), ["doc_id", "_digest"], "left_semi")
     return out.dropDuplicates(["doc_id", "_digest"]).select(*own).unionByName(docs.where("doc_id is null"))

@@ -220,7 +220,7 @@ def repeats(docs: DataFrame, suspects: DataFrame | None = None, carried: list[st
 
 def removed(docs: DataFrame, units: Units = BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    return verified(lambda suspects: (repeats(docs, suspects, units=units).mapInArrow(digest_batches, f"{DIGESTS}, {CHECKS}"), lambda wrong: wrong), "removed")
+    return verified(docs.sparkSession, lambda suspects: (repeats(docs, suspects, units=units).mapInArrow(digest_batches, f"{DIGESTS}, {CHECKS}"), lambda wrong: wrong), "removed")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     kind = tagged(docs.limit(0), rest).schema["rest"].dataType.simpleString()
     schema = f"rest {kind}, kept binary, {CHECKS}"
-    out = verified(lambda suspects: (repeats(docs, suspects, rest).mapInArrow(clean_batches, schema), lambda wrong: wrong), "cleaned")
+    out = verified(docs.sparkSession, lambda suspects: (repeats(docs, suspects, rest).mapInArrow(clean_batches, schema), lambda wrong: wrong), "cleaned")
     kept = F.col("kept").cast("string")
     cut = {c: F.col(f"rest.own.`{c}`") for c in rest} | {"text": F.when(~F.col("rest.absent"), kept)}
     if "n_chars" in rest:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches, materialize, shuffle_partitions
+from brindle.llm.common import bounded_batches, discard, materialize, release_shuffles, shuffle_partitions, temporary
 
 #: Units that are looked at together, and the most in one segment.
 CHUNK, SEGMENT = 1 << 21, 1 << 20
@@ -273,6 +273,8 @@ def judged(docs: DataFrame, spec: Units, suspects: DataFrame | None = None) -> D
     buckets = bucket_ids(spark, n)
     cut = docs.where("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(lambda x: cut_pieces(x, spec, buckets), "bucket long, pieces binary")
     known = materialize(cut.repartition(n, "bucket").mapInArrow(lambda x: judge_pieces(x, spec), JUDGED), "judged")
+    del cut
+    release_shuffles(spark)
     if suspects is None:
         return known
     apart = known.join(suspects, "path", "left_semi").withColumn("at", F.col("at").bitwiseAND(~7).bitwiseOR(OPEN)).distinct()
@@ -355,7 +357,7 @@ def check_columns(paths: list[np.ndarray], found: list[np.ndarray]) -> list[pa.A
     return [pa.array(paths, pa.list_(pa.int64())), *(pa.array([x[:, k] for x in found], pa.list_(pa.int64())) for k in (0, 1))]
 
 
-def verified(build: Callable[[DataFrame | None], tuple[DataFrame, Callable[[DataFrame], DataFrame]]], name: str) -> DataFrame:
+def verified(spark: SparkSession, build: Callable[[DataFrame | None], tuple[DataFrame, Callable[[DataFrame], DataFrame]]], name: str) -> DataFrame:
     """The table that ``build`` makes, with one text behind each of its paths.
 
     ``build`` takes the paths known to stand for several texts (None at first)
@@ -364,12 +366,14 @@ def verified(build: Callable[[DataFrame | None], tuple[DataFrame, Callable[[Data
     """
     suspects = None
     while True:
-        made, pieces_of_checks = build(suspects)
-        out = materialize(made, name)
-        each = out.select(F.explode(F.arrays_zip("paths", "lows", "highs")).alias("c")).select(F.col("c.paths").alias("path"), F.col("c.lows").alias("low"), F.col("c.highs").alias("high"))
-        several = each.groupBy("path").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("low", "high")])
-        wrong = materialize(several.where("min_low <> max_low OR min_high <> max_high").select("path"), "collided")
-        if not wrong.take(1):
-            return out.drop("paths", "lows", "highs")
-        wrong = materialize(pieces_of_checks(wrong), "collided")
+        with temporary(spark):
+            made, pieces_of_checks = build(suspects)
+            out = materialize(made, name, stay=True)
+            each = out.select(F.explode(F.arrays_zip("paths", "lows", "highs")).alias("c")).select(F.col("c.paths").alias("path"), F.col("c.lows").alias("low"), F.col("c.highs").alias("high"))
+            several = each.groupBy("path").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("low", "high")])
+            wrong = materialize(several.where("min_low <> max_low OR min_high <> max_high").select("path"), "collided")
+            if not wrong.take(1):
+                return out.drop("paths", "lows", "highs")
+            wrong = materialize(pieces_of_checks(wrong), "collided", stay=True)
+        discard(spark, out.scratch_path)
         suspects = wrong if suspects is None else suspects.union(wrong)
