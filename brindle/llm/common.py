@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -78,6 +79,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Have the driver notice which shuffles nothing refers to; executors then delete their files."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
