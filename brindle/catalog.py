@@ -335,8 +335,7 @@ class Workspace:
         new = self.spark.createDataFrame([tuple(float(v) if i in (9, 10) and v is not None else v for i, v in enumerate(r)) for r in rows], BONDS)
         label = self.rules.acyclic.get(s.source.split(":", 1)[0])
         if label is not None and (label == s.label or not label):
-            pairs = graph.closure(self.state.bonds.where(F.col("label") == s.label))
-            if not graph.rejected_by_cycle_guard(new, pairs).isEmpty():
+            if not graph.closes_cycle(new, self.state.bonds.where(F.col("label") == s.label)).isEmpty():
                 raise RejectedWrite("the bond would close a cycle")
         new = graph.resolve_latches(new, gids, now)
         if s.get("exclusive"):

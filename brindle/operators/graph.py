@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the session names."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="brindle-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="brindle-"))
     return df.checkpoint()
 
 
@@ -40,10 +43,6 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return edges.unionByName(reversed_edges(edges.where("source <> target")))
 
 
-def mutual(edges: DataFrame) -> DataFrame:
-    return directed(edges, "BOTH")
-
-
 def related(bonds: DataFrame, docs: DataFrame, source: str, label: str, at: object = None, candidates: bool = False, now: Column | None = None) -> DataFrame:
     """Targets of one hop, one row a target: active, candidate (unmet condition) or latched (no such document yet).
 
@@ -155,31 +154,77 @@ def path_authorized(edges: DataFrame, start: DataFrame, goals: DataFrame, depth:
     return goal.join(near, "node", "left").select("node", F.col("hop").isNotNull().alias("authorized"), F.col("hop").alias("length"))
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(u, v): v can be reached from u. Pairs of a node with itself only where it links to itself.
+def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(u, v): v can be reached from u, of ``starts`` if given. Pairs of a node with itself only where it links to itself.
 
-    Semi-naive: a round joins only the last round's new pairs with the edges.
+    Semi-naive: a round joins only the last round's new pairs with the edges,
+    until none is new. What is known is kept as one table a round and put
+    together every few rounds, so a long path does not rewrite it each time.
     """
-    base = checkpointed(edges.select(F.col("source").alias("u"), F.col("target").alias("v")).distinct())
+    step = checkpointed(edges.select(F.col("source").alias("eu"), F.col("target").alias("ev")).distinct())
+    base = step.toDF("u", "v")
+    if starts is not None:
+        base = checkpointed(base.join(starts.select(F.col(starts.columns[0]).alias("u")).distinct(), "u", "left_semi"))
     known, new = base, base
-    step = base.toDF("eu", "ev")
-    for _ in range(rounds):
+    for n in count(1):
         grown = new.join(step, F.col("v") == F.col("eu")).where("u <> ev").select("u", F.col("ev").alias("v")).distinct()
         new = checkpointed(grown.join(known, ["u", "v"], "left_anti"))
         if new.isEmpty():
             return known
-        known = checkpointed(known.unionByName(new))
-    raise RuntimeError(f"closure not reached in {rounds} rounds")
+        known = known.unionByName(new)
+        if n % 8 == 0:
+            known = checkpointed(known)
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges of nodes that nothing leads to or that lead nowhere, round by round."""
+    n = edges.count()
+    while n:
+        edges = checkpointed(edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+        n, before = edges.count(), n
+        if n == before:
+            break
+    return edges
+
 
+def _colours(edges: DataFrame) -> DataFrame:
+    """(node, c): the greatest node from which each can be reached, itself included."""
+    state = checkpointed(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct().withColumn("c", F.col("node")).withColumn("new", F.lit(True)))
+    while True:
+        sent = state.where("new").join(edges, F.col("node") == F.col("source")).groupBy("target").agg(F.max("c").alias("got"))
+        state = checkpointed(state.join(sent, F.col("node") == F.col("target"), "left").select("node", F.greatest("c", "got").alias("c"), F.coalesce(F.col("got") > F.col("c"), F.lit(False)).alias("new")))
+        if state.where("new").isEmpty():
+            return state.select("node", "c")
 
-def cycles(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(component, node) of strongly connected components of more than one node or with a self link."""
-    pairs = closure(edges) if pairs is None else pairs
-    back = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    both = pairs.join(back, ["u", "v"], "left_semi").where("u <> v")
-    loops = edges.where("source = target").select(F.col("source").alias("u"), F.col("source").alias("v"))
-    members = both.unionByName(loops).groupBy("u").agg(F.min("v").alias("low"))
-    return members.select(F.least("low", "u").alias("component"), F.col("u").alias("node"))
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(component, node) of strongly connected components of more than one node or with a self link.
+
+    Without the closure: edges off every cycle are trimmed, each node takes the
+    greatest node that reaches it as its colour, and what reaches a colour's own
+    node inside the colour is a component; it goes, and the rest follows.
+    """
+    loops = edges.where("source = target").select(F.col("source").alias("node")).distinct()
+    left = checkpointed(edges.where("source <> target").select("source", "target").distinct())
+    found = None
+    while not (left := _trimmed(left)).isEmpty():
+        colour = _colours(left)
+        inside = left.join(colour.toDF("source", "cs"), "source").join(colour.toDF("target", "ct"), "target").where("cs = ct").select("source", "target")
+        back = reach(inside, colour.where("node = c").select("node"), None, "IN", include_start=True)
+        whole = checkpointed(back.select("node").join(colour, "node"))
+        found = whole if found is None else found.unionByName(whole)
+        gone = whole.select("node")
+        left = checkpointed(left.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti").select("source", "target"))
+    if found is None:
+        return loops.select(F.col("node").alias("component"), "node")
+    parts = found.groupBy("c").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = found.join(parts, "c").select("component", "node")
+    return members.unionByName(loops.join(members, "node", "left_anti").select(F.col("node").alias("component"), "node"))
+
+
+def closes_cycle(new: DataFrame, edges: DataFrame) -> DataFrame:
+    """New edges that would close a cycle, searched from their targets alone."""
+    return rejected_by_cycle_guard(new, closure(edges, new.select("target")))
 
 
 def rejected_by_cycle_guard(new: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -275,6 +320,3 @@ def key_candidates(child: DataFrame, parent: DataFrame, child_name: str, parent_
         return spark.createDataFrame([], "field string, refers_to string, overlap double, score double, enforcement string")
     return rows.withColumn("enforcement", F.when(F.col("score") > 0.8, "strict").when(F.col("score") > 0.5, "firm").otherwise("soft"))
 
-
-def edges_of(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "source string, target string, label string")

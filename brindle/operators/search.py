@@ -82,15 +82,21 @@ def _begins(prefix: str):
     return lambda x: F.startswith(x, F.lit(prefix))
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """(key, score) of documents that have any of the words.
+#: Words of the record engine's text search: runs of letters and digits.
+WORDS = r"[^\p{L}\p{N}]+"
 
-    One pass over the text: word counts are taken per document without
-    exploding it, so only one row a document is aggregated for the statistics.
+
+def bm25(docs: DataFrame, key: str, text: str, query: str, split: str = r"\s+", prefixes: bool = False) -> DataFrame:
+    """(key, score) of documents that have any of the words; with ``prefixes``, ``w*`` is any word that begins so.
+
+    Word counts are taken per document without exploding it, so only one row a
+    document is aggregated for the statistics; the text is read for them and
+    once more for the scores, which is less than keeping the counts of all.
     """
     wanted = list(dict.fromkeys(re.split(r"\s+", query.strip().lower())))
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    counts = docs.select(key, words.alias("w")).select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), split), lambda w: w != "")
+    like = [_begins(t[:-1]) if prefixes and t.endswith("*") else _equals(t) for t in wanted]
+    counts = docs.select(key, words.alias("w")).select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", f)).alias(f"tf{i}") for i, f in enumerate(like)])
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     any_hit = F.lit(False)
     score = F.lit(0.0)
@@ -104,7 +110,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
 
 def all_words(docs: DataFrame, text: str, query: str) -> Column:
     """Every word occurs; ``w*`` is a prefix."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), WORDS)
     out = F.lit(True)
     for w in query.lower().split():
         out = out & (F.exists(words, _begins(w[:-1])) if w.endswith("*") else F.array_contains(words, w))

@@ -49,6 +49,17 @@ def visible(w: Workspace, name: str) -> DataFrame:
     return hidden(w, bucket, readable(w, bucket, df))
 
 
+def permitted(w: Workspace, df: DataFrame, *ends: str) -> DataFrame:
+    """``df`` without the rows one of whose ``ends`` is a document that a row policy hides."""
+    for name in w.state.buckets:
+        if any(action in ("read", "all") for action, _ in w.rules.policies.get(name, {}).values()):
+            everything = w.documents(name)
+            out_of_sight = everything.select("gid").join(readable(w, name, everything).select("gid"), "gid", "left_anti")
+            for end in ends:
+                df = df.join(out_of_sight.withColumnRenamed("gid", end), end, "left_anti").select(*df.columns)
+    return df
+
+
 def run_find(w: Workspace, s: Statement) -> DataFrame:
     bucket, df = base_of(w, s.bucket)
     if s.get("at") is not None and bucket == s.bucket:
@@ -143,12 +154,13 @@ def run_pipe(w: Workspace, s: Statement) -> DataFrame:
 
 def run_related(w: Workspace, s: Statement) -> DataFrame:
     docs = w.all_gids()
-    bonds = w.state.bonds
+    bonds = permitted(w, w.state.bonds, "source", "target")
     at = moment(s.at, w.clock()) if s.get("at") is not None else None
     conditional = bonds.where(F.col("condition_field").isNotNull()).select("condition_side", "condition_field", F.substring_index(F.when(F.col("condition_side") == "source", F.col("source")).otherwise(F.col("target")), ":", 1).alias("b")).distinct()
     met = None
-    for r in conditional.limit(1000).toLocalIterator():  # kinds of conditions, not bonds
-        if r["b"] in w.state.buckets and r["condition_field"] in w.bucket(r["b"]).df.columns:
+    conditional = conditional.where(F.col("b").isin(list(w.state.buckets)))  # at most one row a side and field of a bucket
+    for r in conditional.toLocalIterator():
+        if r["condition_field"] in w.bucket(r["b"]).df.columns:
             d = w.documents(r["b"]).select(F.col("gid").alias("_g"), F.lit(r["condition_side"]).alias("_side"), F.lit(r["condition_field"]).alias("_field"), F.col(r["condition_field"]).cast("string").alias("_now"))
             met = d if met is None else met.unionByName(d)
     if met is not None:
@@ -160,18 +172,18 @@ def run_related(w: Workspace, s: Statement) -> DataFrame:
 
 
 def run_links_of(w: Workspace, s: Statement) -> DataFrame:
-    own = w.state.links.where(F.col("source") == s.source)
+    own = permitted(w, w.state.links.where(F.col("source") == s.source), "source", "target")
     known = own.join(w.all_gids(), F.col("target") == F.col("gid"), "left")
     return known.where(F.col("is_url") | F.col("gid").isNotNull()).select("target", "is_url").distinct()
 
 
 def run_chain(w: Workspace, s: Statement) -> DataFrame:
     start = w.spark.createDataFrame([(s.source,)], "node string")
-    return graph.chain(w.state.bonds, start, s.labels, w.clock())
+    return graph.chain(permitted(w, w.state.bonds, "source", "target"), start, s.labels, w.clock())
 
 
 def run_match(w: Workspace, s: Statement) -> DataFrame:
-    out = graph.match_path(w.state.bonds, [(a, visible(w, b)) for a, b in s.nodes], s.hops)
+    out = graph.match_path(permitted(w, w.state.bonds, "source", "target"), [(a, visible(w, b)) for a, b in s.nodes], s.hops)
     return out.where(where_column(out, s.where)) if s.where else out
 
 
@@ -181,7 +193,7 @@ def run_follow(w: Workspace, s: Statement) -> DataFrame:
         edges = graph.as_of(w.state.history, moment(s.at, w.clock()))
     else:
         edges = w.state.bonds
-    edges = edges.where(F.col("label") == s.label) if s.label else edges.limit(0)
+    edges = permitted(w, edges.where(F.col("label") == s.label) if s.label else edges.limit(0), "source", "target")
     out = graph.reach(edges, start, int(s.depth), s.direction, include_start=True)
     if s.get("guided") and w.embed:
         scored = None
@@ -196,7 +208,7 @@ def run_follow(w: Workspace, s: Statement) -> DataFrame:
 
 
 def run_find_how(w: Workspace, s: Statement) -> DataFrame:
-    return graph.changes_between(w.state.history, s.node, s.label, moment(s.low, w.clock()), moment(s.high, w.clock()))
+    return graph.changes_between(permitted(w, w.state.history, "source", "target"), s.node, s.label, moment(s.low, w.clock()), moment(s.high, w.clock()))
 
 
 def run_forecast(w: Workspace, s: Statement) -> DataFrame:
@@ -204,12 +216,12 @@ def run_forecast(w: Workspace, s: Statement) -> DataFrame:
 
 
 def run_view(w: Workspace, s: Statement) -> DataFrame:
-    w.state.views[s.name] = aggregate.grouped_sum_view(w.bucket(s.bucket).df, s.by, s.field)
+    w.state.views[s.name] = aggregate.grouped_sum_view(visible(w, s.bucket), s.by, s.field)
     return w.state.views[s.name]
 
 
 def run_graph_view(w: Workspace, s: Statement) -> DataFrame:
-    edges = w.state.bonds if s.label is None else w.state.bonds.where(F.col("label") == s.label)
+    edges = permitted(w, w.state.bonds if s.label is None else w.state.bonds.where(F.col("label") == s.label), "source", "target")
     w.state.views[s.name] = graph.closure(edges)
     return w.state.views[s.name]
 
@@ -217,12 +229,12 @@ def run_graph_view(w: Workspace, s: Statement) -> DataFrame:
 def run_listen(w: Workspace, s: Statement) -> DataFrame:
     if s.view:
         return w.state.views[s.bucket]
-    log = w.state.audit.where(F.col("bucket") == s.bucket)
+    log = permitted(w, w.state.audit.where(F.col("bucket") == s.bucket), "gid")
     return log if s.key is None else log.where(F.col("gid") == f"{s.bucket}:{s.key}")
 
 
 def run_replica(w: Workspace, s: Statement) -> DataFrame:
-    df = w.documents(s.bucket)
+    df = visible(w, s.bucket)
     df = df.where(where_column(df, s.where)) if s.where else df
     out = df.select("gid", *[c for c in (s.show or df.columns) if c != "gid"])
     w.state.views[s.name] = out
@@ -230,18 +242,18 @@ def run_replica(w: Workspace, s: Statement) -> DataFrame:
 
 
 def run_pending(w: Workspace, s: Statement) -> DataFrame:
-    return w.state.bonds.where("status = 'latched'").select("source", "target", "label", "created_at", "expires_at")
+    return permitted(w, w.state.bonds, "source", "target").where("status = 'latched'").select("source", "target", "label", "created_at", "expires_at")
 
 
 def run_suggest(w: Workspace, s: Statement) -> DataFrame:
-    gids, found = w.all_gids(), None
+    gids, found = permitted(w, w.all_gids(), "gid"), None
     for name, b in w.state.buckets.items():
         fields = [f for f, k in b.df.dtypes if k == "string" and f != b.key]
         if fields:
-            one = graph.suggest_references(w.documents(name), fields, gids)
+            one = graph.suggest_references(visible(w, name), fields, gids)
             found = one if found is None else found.unionByName(one)
         if b.embedding:
-            near = search.similar_pairs(w.documents(name), "gid", b.embedding, 0.5).select(F.col("a").alias("gid"), F.col("b").alias("to"), "score")
+            near = search.similar_pairs(visible(w, name), "gid", b.embedding, 0.5).select(F.col("a").alias("gid"), F.col("b").alias("to"), "score")
             found = near if found is None else found.unionByName(near)
     if found is None:
         return w.spark.createDataFrame([], "a string, b string, score double")
@@ -257,11 +269,11 @@ def run_show(w: Workspace, s: Statement) -> DataFrame:
             out = one if out is None else out.unionByName(one)
         return out if out is not None else w.spark.createDataFrame([], "bucket string, documents long")
     if what == "BONDS":
-        return w.state.bonds
+        return permitted(w, w.state.bonds, "source", "target")
     if what == "LINKS":
-        return w.state.links
+        return permitted(w, w.state.links, "source", "target")
     if what == "CYCLES":
-        return graph.cycles(w.state.bonds)
+        return graph.cycles(permitted(w, w.state.bonds, "source", "target"))
     if what == "INDEXES":
         return w.spark.createDataFrame([(b, ", ".join(f)) for b, many in w.rules.indexes.items() for f in many], "bucket string, fields string")
     return w.spark.createDataFrame([(r["kind"], str(r)) for r in w.rules.listed if what.startswith(r["kind"].upper()[:4])], "kind string, rule string")
