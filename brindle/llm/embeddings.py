@@ -15,7 +15,7 @@ Equal vectors are one before the search and count as links of each other.
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; a null vec_id is linked with nothing. Vectors of
 each length are searched by themselves, with a rotation of their own, and link
-only with their own length. An empty table gives an empty result.
+only with their own length; any finite size of the components will do. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,9 +55,15 @@ def learn_rotation(sample: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray
     return mean, axes @ turn
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def unit_rows(column: pa.Array, dims: int) -> np.ndarray:
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit(x)
 
 
 SUBSETS = [s for k in range(FLIPS + 1) for s in combinations(range(FLIPPED_OF), k)]
@@ -152,8 +158,7 @@ def known_groups(rows: DataFrame, dims: int, threshold: float, sample: int) -> D
     spark = rows.sparkSession
     groups = materialize(rows.groupBy("digest").agg(F.min("vec_id").alias("gid"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "groups")
     some = groups.orderBy(F.xxhash64("gid"), "gid").select("embedding").limit(sample).collect()  # bounded
-    unit = np.array([r["embedding"] for r in some], np.float64)
-    mean, rotation = learn_rotation(unit / np.linalg.norm(unit, axis=1, keepdims=True))
+    mean, rotation = learn_rotation(unit(np.array([r["embedding"] for r in some], np.float64)))
 
     probes = groups.select("gid", "embedding").mapInArrow(lambda x: probe_batches(x, mean, rotation), "key long, gid long, code long, own boolean")
     met = probes.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", F.desc("own")).mapInArrow(lambda x: meet_batches(x, CODE_DISTANCE), "a long, b long")

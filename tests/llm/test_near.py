@@ -169,6 +169,6 @@ def test_appended_and_cut_copies_are_found(spark):
 
 
 def test_embeddings_of_every_length(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [0.1, 1.0, 0.0])]
-    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    rows = [(0, [1.0, 0.0]), (1, [1e200, 1e198]), (2, [0.0, 1e-200]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [0.1, 1.0, 0.0])]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert {tuple(r) for r in got} == {(0, 1, 0), (1, 1, 0), (2, 0, 2), (3, 2, 3), (4, 2, 3), (5, 2, 3)}
