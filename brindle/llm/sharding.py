@@ -13,6 +13,7 @@ than a shard's share is treated as several, each of which may settle apart.
 Defined cases: a null text has size 1 and crc32 0, and links with no other
 document; an empty text is a text like any other and links with its equals.
 Repeated rows are rows of their own. An empty table gives an empty result.
+A second run on the same rows gives the same shards, however they are dealt.
 Extra columns of the input are ignored by the query and kept by ``shard``, but
 for those named shard or slot, which give way.
 """
@@ -64,8 +65,11 @@ def _propagate(linked: DataFrame, shards: int, share: int, rounds: int) -> DataF
 
 def shard(docs: DataFrame, key: Column, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``; documents of equal ``key`` (null: none) link."""
-    base = docs.select(F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("_row"), key.alias("_key"), F.expr("uuid()").alias("_uid"))
-    base = materialize(base, "sharding")  # fixes the row ids
+    row = F.struct(*[c for c in docs.columns if c not in ("shard", "slot")])
+    base = materialize(docs.select(row.alias("_row"), key.alias("_key"), F.md5(F.to_json(row)).alias("_hash")), "sharding")
+    # a row's id is its content and its number among equal rows, so that a run repeats; equal rows may change places
+    base = numbered(base, ["_hash"], [F.col("_hash")], F.spark_partition_id(), 0, "_nth")
+    base = materialize(base.select("_row", "_key", F.concat_ws("-", "_hash", "_nth").alias("_uid")), "sharding")
     rows = base.count()
     share = max(1, rows // shards)
     first = salt_of("_uid", buckets=shards)

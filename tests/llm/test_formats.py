@@ -124,6 +124,12 @@ def test_sharding(spark, sf):
     assert all(len(s) == 1 for s in groups.values())
 
 
+def test_sharding_repeats(spark, odd):
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(i, "same") for i in range(40)], "doc_id long, text string"))
+    placed = lambda df: sorted(map(str, sharding.shard(df, F.col("text")).collect()))
+    assert placed(rows.repartition(3)) == placed(rows.coalesce(1))
+
+
 def test_sharding_hot_group_and_odd(spark, odd, empty):
     from pyspark.sql import functions as F
 
