@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -78,9 +79,15 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Have the driver notice which shuffles nothing refers to; executors then delete their files."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Have the driver notice which shuffles nothing refers to; executors then delete their files.
+
+    What Python drops is told to the JVM by a thread that looks every second,
+    and what that frees there may hold more, hence twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:
