@@ -212,7 +212,8 @@ def repeats(docs: DataFrame, suspects: DataFrame | None = None, carried: list[st
     base = tagged(docs, carried)
     state = with_places(base, judged(base, units, suspects))
     n = shuffle_partitions(docs.sparkSession)
-    sent = state.select(*KEY, "text", "ats").mapInArrow(lambda x: send_open(x, units), "gram long, doc_id long, tag long, at long, piece binary")
+    # with all columns, so that its shuffles are those of the join below and made once
+    sent = state.mapInArrow(lambda x: send_open(x, units), "gram long, doc_id long, tag long, at long, piece binary")
     found = sent.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compare_batches, "doc_id long, tag long, at long, covered long")
     found = found.groupBy(*KEY).agg(F.collect_list(F.struct("at", "covered")).alias("open"))
     return state.join(found, KEY, "left").select(*state.columns, F.col("open.at").alias("open_ats"), F.col("open.covered").alias("bits"))

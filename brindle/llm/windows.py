@@ -291,7 +291,7 @@ def send_open(batches: Iterator[pa.RecordBatch], spec: Units, rows: int = 64) ->
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             out = []
-            for doc, tag, text, ats in zip(*(batch.column(c).slice(i, rows).to_pylist() for c in range(4))):
+            for doc, tag, text, ats in zip(*(batch.column(c).slice(i, rows).to_pylist() for c in ("doc_id", "tag", "text", "ats"))):
                 asked = [x for x in ats or () if x & 7 == OPEN]
                 if asked:
                     seq = spec.split(text or b"")
@@ -369,6 +369,8 @@ def verified(spark: SparkSession, build: Callable[[DataFrame | None], tuple[Data
         with temporary(spark):
             made, pieces_of_checks = build(suspects)
             out = materialize(made, name, stay=True)
+            del made
+            release_shuffles(spark)
             each = out.select(F.explode(F.arrays_zip("paths", "lows", "highs")).alias("c")).select(F.col("c.paths").alias("path"), F.col("c.lows").alias("low"), F.col("c.highs").alias("high"))
             several = each.groupBy("path").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("low", "high")])
             wrong = materialize(several.where("min_low <> max_low OR min_high <> max_high").select("path"), "collided")
