@@ -35,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, shuffle_partitions, table
+from brindle.llm.common import materialize, salt_of, shuffle_partitions, table
 from brindle.llm.windows import CHECKS, KEY, OPEN, Units, by_gram, check_columns, digests, judged, lists, role_of, send_open, tagged, verified, with_places
 
 EDGE_WORDS = 20
+#: Tasks that the occurrences of one chain are dealt to.
+SALTS = 16
 RUN = "doc_id long, tag long, at long, path long"
 
 
@@ -122,7 +124,10 @@ def spans(found: DataFrame, chain: DataFrame) -> DataFrame:
     heads = found.select(*KEY, "start", "path").join(chain.where("ahead = 0").select("path", "chain"), "path")
     whole = chain.groupBy("chain").agg(F.max(F.col("ahead") + F.col("edges")).alias("edges"))
     first = heads.groupBy("chain").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").join(whole, "chain")
-    return heads.join(first.select("chain", "first", "edges"), "chain").select(*KEY, "start", "edges", "chain", (F.struct("doc_id", "start") > F.col("first")).alias("gone"))
+    # a chain that very many places share is dealt to several tasks
+    heads = heads.withColumn("salt", salt_of("doc_id", "start", buckets=SALTS))
+    first = first.select("chain", "first", "edges", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return heads.join(first, ["chain", "salt"]).select(*KEY, "start", "edges", "chain", (F.struct("doc_id", "start") > F.col("first")).alias("gone"))
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
