@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,6 +97,32 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def lean(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """For generators that run in Python workers: what one has freed goes back to the system when its task ends.
+
+    Workers outlive tasks and keep freed memory otherwise, so a later stage
+    would pay for the peak of an earlier one beside its own.
+    """
+
+    @functools.wraps(work)
+    def run(*args, **kwargs):
+        try:
+            yield from work(*args, **kwargs)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of one C library only
+    if trim:
+        trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

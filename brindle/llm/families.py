@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches, components, materialize, shuffle_partitions, temporary
+from brindle.llm.common import bounded_batches, components, lean, materialize, shuffle_partitions, temporary
 from brindle.llm.simhash import DISTANCE, PIPELINE_SHINGLE_WORDS, fingerprint_links, majority
 
 SIMILARITY = 0.8
@@ -76,6 +76,7 @@ def hashed_shingles(text: bytes | None, words: int, known: WordHashes) -> np.nda
     return np.unique(h ^ h >> np.uint64(29))
 
 
+@lean
 def print_batches(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Two kinds of rows (of_key, id, n): fingerprints of texts by doc_id, and how often shingles recur by key."""
     known, met, size = WordHashes(), [], 0
@@ -100,6 +101,7 @@ def print_batches(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256
     yield counted()
 
 
+@lean
 def prefix_batches(batches: Iterator[pa.RecordBatch], words: int, similarity: float, common: np.ndarray, often: np.ndarray, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The prefix of each text, with the number of its shingles, of those after this one, and the text's fingerprint."""
     known = WordHashes()
@@ -136,6 +138,7 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
+@lean
 def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows whose key others have too."""
     for cols in whole_keys(batches):
@@ -144,6 +147,7 @@ def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(c[keep]) for c in cols], names=NAMES)
 
 
+@lean
 def pair_batches(batches: Iterator[pa.RecordBatch], similarity: float, leader: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs that may be near copies, of different families, from rows (key, root, doc_id, size, rest, fp) sorted by key, root, doc_id.
 
@@ -213,6 +217,7 @@ def pair_batches(batches: Iterator[pa.RecordBatch], similarity: float, leader: i
     yield give()
 
 
+@lean
 def alike_batches(batches: Iterator[pa.RecordBatch], words: int, similarity: float, rows: int = 64) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose texts have similar sets of shingles."""
     known = WordHashes()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches, materialize, numbered, salt_of, table
+from brindle.llm.common import bounded_batches, lean, materialize, numbered, salt_of, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -103,6 +103,7 @@ def texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[
             yield part.column(0).to_pylist(), [x or "" for x in part.column(1).to_pylist()]
 
 
+@lean
 def cut(batches: Iterator[pa.RecordBatch], files: tuple[str, str], capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     ids_of, end = byte_ids(*files), array("I", [end_id]).tobytes()
     for doc_ids, some in texts(batches):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import shuffle_partitions, table
+from brindle.llm.common import lean, shuffle_partitions, table
 from brindle.llm.windows import CHECKS, COVERED, KEY, OPEN, Units, by_gram, check_columns, digests, judged, lists, place, powers, prefix_hashes, send_open, stretch_hashes, tagged, verified, with_places
 
 WINDOW = 50
@@ -138,6 +138,7 @@ def covered_windows(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, pieces: l
     return out
 
 
+@lean
 def compare_batches(batches: Iterator[pa.RecordBatch], most: int = 16_384) -> Iterator[pa.RecordBatch]:
     """(doc_id, tag, at, covered) of the pieces of which some windows are covered, from rows sorted by gram."""
     for t in by_gram(batches, most):
@@ -186,6 +187,7 @@ def judged_rows(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[t
             yield part, texts, masks, check_columns(paths, found)
 
 
+@lean
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in f"{DIGESTS}, {CHECKS}".split(", ")]
     for part, texts, masks, checks in judged_rows(batches):
@@ -195,6 +197,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([*cols, *checks], names=names)
 
 
+@lean
 def clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts, masks, checks in judged_rows(batches):
         kept = []

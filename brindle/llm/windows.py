@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches, discard, materialize, release_shuffles, shuffle_partitions, temporary
+from brindle.llm.common import bounded_batches, discard, lean, materialize, release_shuffles, shuffle_partitions, temporary
 
 #: Units that are looked at together, and the most in one segment.
-CHUNK, SEGMENT = 1 << 21, 1 << 20
+CHUNK, SEGMENT = 1 << 20, 1 << 20
 PLACE_BITS = 24
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
@@ -174,6 +174,7 @@ def segments(batches: Iterator[pa.RecordBatch], spec: Units, rows: int = 128) ->
                     yield doc, tag, a, units[a : a + SEGMENT]
 
 
+@lean
 def cut_pieces(batches: Iterator[pa.RecordBatch], spec: Units, buckets: list[int]) -> Iterator[pa.RecordBatch]:
     def done(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
         sizes = np.array([len(x[3]) for x in held])
@@ -203,6 +204,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], spec: Units, buckets: list[int
         yield done(held)
 
 
+@lean
 def judge_pieces(batches: Iterator[pa.RecordBatch], spec: Units) -> Iterator[pa.RecordBatch]:
     """(doc_id, tag, at, path) of the pieces that occur again or are open; ``at`` packs place and role."""
     blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
@@ -281,6 +283,7 @@ def judged(docs: DataFrame, spec: Units, suspects: DataFrame | None = None) -> D
     return known.join(suspects, "path", "left_anti").unionByName(apart)
 
 
+@lean
 def send_open(batches: Iterator[pa.RecordBatch], spec: Units, rows: int = 64) -> Iterator[pa.RecordBatch]:
     """(gram, doc_id, tag, at, piece) of open pieces, from (doc_id, tag, text, ats)."""
     import xxhash
