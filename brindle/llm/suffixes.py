@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import lean, shuffle_partitions, table
-from brindle.llm.windows import CHECKS, COVERED, KEY, OPEN, Units, by_gram, check_columns, digests, judged, lists, place, powers, prefix_hashes, send_open, stretch_hashes, tagged, verified, with_places
+from brindle.llm.common import lean, materialize, release_shuffles, shuffle_partitions, table
+from brindle.llm.windows import CHECKS, COVERED, KEY, OPEN, Units, by_gram, check_columns, digests, judged, lists, place, powers, prefix_hashes, role_of, send_open, stretch_hashes, tagged, verified, with_places
 
 WINDOW = 50
 #: Bits of prefix hashes that comparisons look at; fewer only in tests, to make collisions.
@@ -212,14 +212,26 @@ DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def repeats(docs: DataFrame, suspects: DataFrame | None = None, carried: list[str] = (), units: Units = BYTES) -> DataFrame:
     """(doc_id, tag, text, ats, paths, open_ats, bits), and ``carried`` columns in ``rest``, for every row: what is covered in it."""
-    base = tagged(docs, carried)
-    state = with_places(base, judged(base, units, suspects))
+    known = judged(tagged(docs), units, suspects)
+    found = compared(docs, known, units)
+    state = with_places(tagged(docs, carried), known.where(role_of() != OPEN))
+    found = found.groupBy(*KEY).agg(F.collect_list("at").alias("open_ats"), F.collect_list("covered").alias("bits"))
+    return state.join(found, KEY, "left").select(*state.columns, "open_ats", "bits")
+
+
+def compared(docs: DataFrame, known: DataFrame, units: Units) -> DataFrame:
+    """(doc_id, tag, at, covered) of the open pieces of which some windows are covered.
+
+    A table of its own: the texts are dealt out once more for what follows, but
+    by then the shuffles of the open pieces, far larger than their outcome, are gone.
+    """
     n = shuffle_partitions(docs.sparkSession)
-    # with all columns, so that its shuffles are those of the join below and made once
-    sent = state.mapInArrow(lambda x: send_open(x, units), "gram long, doc_id long, tag long, at long, piece binary")
-    found = sent.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compare_batches, "doc_id long, tag long, at long, covered long")
-    found = found.groupBy(*KEY).agg(F.collect_list(F.struct("at", "covered")).alias("open"))
-    return state.join(found, KEY, "left").select(*state.columns, F.col("open.at").alias("open_ats"), F.col("open.covered").alias("bits"))
+    asked = with_places(tagged(docs), known.where(role_of() == OPEN), "inner")
+    sent = asked.mapInArrow(lambda x: send_open(x, units), "gram long, doc_id long, tag long, at long, piece binary")
+    found = materialize(sent.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compare_batches, "doc_id long, tag long, at long, covered long"), "compared")
+    del asked, sent
+    release_shuffles(docs.sparkSession)
+    return found
 
 
 def removed(docs: DataFrame, units: Units = BYTES) -> DataFrame:

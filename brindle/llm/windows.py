@@ -6,12 +6,16 @@ consecutive windows with one anchor make a *piece*, and equal windows meet if
 pieces are brought together by the hash of their anchor's gram:
 
 1. ``cut_pieces``: each document's pieces, as packed columns, one binary a
-   receiving task instead of a row a piece (about 19 bytes a piece and one
+   receiving task instead of a row a piece (about 23 bytes a piece and one
    piece for 9 to 18 units).
 2. ``judge_pieces``: among pieces of one anchor gram, those of one hash are one
    *kind*. The first of a kind that occurs again is a *source*, the others are
-   *covered* whole; where a gram has several kinds, the first of each is *open*
-   and asks for its text. All other pieces are unique.
+   *covered* whole; where a gram has several kinds, the first of each may be
+   *open* and ask for its text. An equal window holds the gram and either half of
+   what a window has besides, on its left or on its right; so only pieces of
+   several kinds that agree on a hash of one side are open (a chance meeting of
+   grams is common in a large corpus, one of twice their length is not). All
+   other pieces are unique.
 3. ``send_open``: the text of open pieces only, to be compared exactly, window
    by window, by the operator that uses this search. A gram with more than
    ``hot_kinds`` kinds is split: its pieces go as single windows, dealt by the
@@ -95,7 +99,7 @@ def pieces_of(units: np.ndarray, ends: np.ndarray, spec: Units) -> dict[str, np.
     w, k = spec.window, spec.gram
     n = len(units) - w + 1
     if n <= 0:
-        return {x: np.zeros(0, np.int64) for x in ("start", "offset", "windows")} | {x: np.zeros(0, np.uint64) for x in ("gram", "text")}
+        return {x: np.zeros(0, np.int64) for x in ("start", "offset", "windows", "left", "right")} | {x: np.zeros(0, np.uint64) for x in ("gram", "text")}
     gram, size = mixed(units), 1
     while size < k:
         gram = gram[:-size] * MIX + (gram[size:] ^ gram[size:] >> np.uint64(17))
@@ -121,11 +125,18 @@ def pieces_of(units: np.ndarray, ends: np.ndarray, spec: Units) -> dict[str, np.
     stop[:-1] = fresh[1:] | ~valid[1:]
     windows = np.flatnonzero(stop & valid) - start + 1
     offset = anchor[start] - start
-    text = stretch_hashes(prefix_hashes(units), start, start + windows - 1 + w)
-    return {"start": start, "offset": offset, "windows": windows, "gram": gram[anchor[start]] >> np.uint64(16), "text": mixed(text + windows.astype(np.uint64) * MIX + offset.astype(np.uint64)) >> np.uint64(64 - spec.bits)}
+    prefix = prefix_hashes(units)
+    text = stretch_hashes(prefix, start, start + windows - 1 + w)
+    near = (w - k + 1) // 2  # a window holds so many units before its gram, or the units after it that ``far`` counts
+    far = w - k - near + 1
+    sides = {}
+    for side, a, size, held in (("left", start + offset - near, near, offset >= near), ("right", start + offset + k, far, offset - windows < w - k - far)):
+        a = np.where(held, a, 0)  # 0 below stands for a side that the piece does not hold
+        sides[side] = np.where(held, 1 + (mixed(stretch_hashes(prefix, a, a + size)) % np.uint64(65_535)).astype(np.int64), 0)
+    return sides | {"start": start, "offset": offset, "windows": windows, "gram": gram[anchor[start]] >> np.uint64(16), "text": mixed(text + windows.astype(np.uint64) * MIX + offset.astype(np.uint64)) >> np.uint64(64 - spec.bits)}
 
 
-WIDTHS = (("gram", 6), ("text", 8), ("start", 5), ("offset", 1), ("windows", 1))
+WIDTHS = (("gram", 6), ("text", 8), ("start", 5), ("offset", 1), ("windows", 1), ("left", 2), ("right", 2))
 
 
 def packed(cols: dict[str, np.ndarray], docs: np.ndarray, tags: np.ndarray, doc_of: np.ndarray) -> bytes:
@@ -236,17 +247,24 @@ def judge_pieces(batches: Iterator[pa.RecordBatch], spec: Units) -> Iterator[pa.
     again = (lasts > heads if spec.within else p["doc"][lasts] > p["doc"][heads])[group]
     at_gram, of_gram = np.flatnonzero(starts), np.cumsum(starts) - 1
     kinds = np.add.reduceat(new.astype(np.int64), at_gram)
-    several = kinds > 1
-    if not spec.within:
-        several &= np.minimum.reduceat(p["doc"], at_gram) < np.maximum.reduceat(p["doc"], at_gram)
+    several = np.zeros(len(order), bool)
+    for side in ("left", "right"):
+        by = np.lexsort((p[side], of_gram))
+        cut = np.flatnonzero(np.concatenate([[True], (of_gram[by][1:] != of_gram[by][:-1]) | (p[side][by][1:] != p[side][by][:-1])]))
+        differ = lambda x: np.minimum.reduceat(x[by], cut) < np.maximum.reduceat(x[by], cut)  # noqa: B023, E731
+        meet = (p[side][by][cut] != 0) & differ(group)
+        if not spec.within:
+            meet &= differ(p["doc"])
+        several[by] |= np.repeat(meet, np.diff(np.append(cut, len(by))))
     hot = (kinds > spec.hot_kinds)[of_gram].astype(np.int64)
-    rows = [(np.flatnonzero(again), np.where(lead, SOURCE, COVERED)), (np.flatnonzero(lead & several[of_gram]), np.full(len(order), OPEN))]
+    rows = [(np.flatnonzero(again), np.where(lead, SOURCE, COVERED)), (np.flatnonzero(lead & several), np.full(len(order), OPEN))]
     at = p["start"] << 20 | p["offset"] << 12 | p["windows"] << 4 | hot << 3
     path = mixed(p["text"].view(np.uint64) ^ p["gram"].view(np.uint64)).view(np.int64)
     for found, role in rows:
         for i in range(0, len(found), 50_000):
             j = found[i : i + 50_000]
-            yield pa.record_batch([pa.array(p["doc"][j]), pa.array(p["tag"][j]), pa.array(at[j] | role[j]), pa.array(path[j])], names=["doc_id", "tag", "at", "path"])
+            own = np.where(role[j] == OPEN, 0, path[j])  # nothing looks up an open piece by its path
+            yield pa.record_batch([pa.array(p["doc"][j]), pa.array(p["tag"][j]), pa.array(at[j] | role[j]), pa.array(own)], names=["doc_id", "tag", "at", "path"])
 
 
 def place(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -279,8 +297,8 @@ def judged(docs: DataFrame, spec: Units, suspects: DataFrame | None = None) -> D
     release_shuffles(spark)
     if suspects is None:
         return known
-    apart = known.join(suspects, "path", "left_semi").withColumn("at", F.col("at").bitwiseAND(~7).bitwiseOR(OPEN)).distinct()
-    return known.join(suspects, "path", "left_anti").unionByName(apart)
+    apart = known.join(suspects, "path", "left_semi").withColumn("at", F.col("at").bitwiseAND(~7).bitwiseOR(OPEN)).withColumn("path", F.lit(0).cast("long"))
+    return known.join(suspects, "path", "left_anti").unionByName(apart).distinct()
 
 
 @lean
@@ -329,9 +347,13 @@ def by_gram(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 
 
 def with_places(docs: DataFrame, judged_: DataFrame, how: str = "left") -> DataFrame:
-    """docs with the places of their pieces, and the pieces' paths, as arrays."""
-    found = judged_.groupBy(*KEY).agg(F.collect_list(F.struct("at", "path")).alias("found"))
-    return docs.join(found, KEY, how).select(*docs.columns, F.col("found.at").alias("ats"), F.col("found.path").alias("paths"))
+    """docs with the places of their pieces, and the pieces' paths, as arrays.
+
+    Two lists, which one aggregation fills in one order, as neither column has
+    nulls: a list of structs takes half as much again of a shuffle.
+    """
+    found = judged_.groupBy(*KEY).agg(F.collect_list("at").alias("ats"), F.collect_list("path").alias("paths"))
+    return docs.join(found, KEY, how).select(*docs.columns, "ats", "paths")
 
 
 def tagged(docs: DataFrame, carried: list[str] = ()) -> DataFrame:

@@ -174,3 +174,45 @@ def test_chains_compact(spark):
     found = spark.createDataFrame(rows, "doc_id long, tag long, start long, edges long, path long, next long")
     got = {r.path: (r.chain, r.ahead) for r in debruijn.chains(found).collect()}
     assert all(got[100 + k] == (100, 3 * k) for k in range(70)) and all(got[p] == (p, 0) for p in (7, 8, 9))
+
+
+def _judged(spec, texts):
+    cut = windows.cut_pieces(iter([pa_batch(texts)]), spec, [0])
+    batches = list(windows.judge_pieces(cut, spec))
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "at", "path")))]
+    return rows
+
+
+def pa_batch(texts):
+    import pyarrow as pa
+
+    n = len(texts)
+    return pa.record_batch([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "tag", "text"])
+
+
+def test_open_pieces_can_share_a_window():
+    """Texts that share 16 to 30 bytes ask for nothing; every window of 50 shared by differing stretches is between open or settled pieces."""
+    rng = np.random.default_rng(4)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    gram = noise(30)
+    assert not _judged(suffixes.BYTES, [noise(200) + gram + noise(200) for _ in range(40)])
+    shared = noise(58)
+    texts = [noise(60) + shared[rng.integers(0, 5) :] + noise(60) for _ in range(30)]
+    held = {}
+    for doc, at, _ in _judged(suffixes.BYTES, texts):
+        for i in range(at >> 4 & 255):
+            held.setdefault(doc, set()).add((at >> 20) + i)
+    where = {}
+    for doc, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            where.setdefault(t[i : i + 50], []).append((doc, i))
+    common = [x for v in where.values() if len(v) > 1 for x in v]
+    assert common and all(i in held[doc] for doc, i in common)
+
+
+def test_shuffles_of_open_pieces_go_first(families, monkeypatch):
+    """The texts of open pieces are compared in a table of its own, before the rest is read again."""
+    made, whole = [], suffixes.materialize
+    monkeypatch.setattr(suffixes, "materialize", lambda df, name, *a: made.append(name) or whole(df, name, *a))
+    state = suffixes.repeats(families)
+    assert made == ["compared"] and "binary" not in {t for c, t in state.dtypes if c != "text"}
