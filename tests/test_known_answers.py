@@ -394,3 +394,21 @@ def test_policies_hold_for_reads_through_relations(spark):
 
     seen = compiler.permitted(w, w.state.bonds, "source", "target")
     assert {(r.source, r.target) for r in seen.collect()} == {("note:1", "note:3")}
+
+
+def test_stream_counts_end_where_the_sql_does(spark, tmp_path):
+    """Of the minute that holds the last moment counted, only what is before that moment counts."""
+    import datetime as dt
+
+    import duckdb
+
+    from brindle.queries import ORACLE_SQL, QUERIES
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(i, at(s), u) for i, (s, u) in enumerate([(0, 1), (5, 1), (65, 2), (125, 1), (140, 1), (150, 1), (151, 1), (179, 2), (200, 1), (270, 3)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["rate_limit_stream"])
+    got = QUERIES["rate_limit_stream"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) == 3
