@@ -154,21 +154,31 @@ def path_authorized(edges: DataFrame, start: DataFrame, goals: DataFrame, depth:
     return goal.join(near, "node", "left").select("node", F.col("hop").isNotNull().alias("authorized"), F.col("hop").alias("length"))
 
 
-def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """(u, v): v can be reached from u, of ``starts`` if given. Pairs of a node with itself only where it links to itself.
+#: Nodes in one array of ``closure``, about.
+CHUNK = 1000
+
+
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct edges, (node, c) with the component of each of their nodes, and (cu, cv) the edges between components."""
+    step = checkpointed(edges.select("source", "target").distinct())
+    nodes = step.select(F.col("source").alias("node")).union(step.select("target")).distinct()
+    member = checkpointed(nodes.join(cycles(step), "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+    between = step.join(member.toDF("source", "cu"), "source").join(member.toDF("target", "cv"), "target").where("cu <> cv")
+    return step, member, checkpointed(between.select("cu", "cv").distinct())
+
+
+def _between(dag: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(cu, cv): the component cv can be reached from another, cu, of ``starts`` (cu) if given.
 
     Semi-naive: a round joins only the last round's new pairs with the edges,
     until none is new. What is known is kept as one table a round and put
     together every few rounds, so a long path does not rewrite it each time.
     """
-    step = checkpointed(edges.select(F.col("source").alias("eu"), F.col("target").alias("ev")).distinct())
-    base = step.toDF("u", "v")
-    if starts is not None:
-        base = checkpointed(base.join(starts.select(F.col(starts.columns[0]).alias("u")).distinct(), "u", "left_semi"))
-    known, new = base, base
+    step = dag.toDF("eu", "ev")
+    known = new = dag if starts is None else checkpointed(dag.join(starts, "cu", "left_semi"))
     for n in count(1):
-        grown = new.join(step, F.col("v") == F.col("eu")).where("u <> ev").select("u", F.col("ev").alias("v")).distinct()
-        new = checkpointed(grown.join(known, ["u", "v"], "left_anti"))
+        grown = new.join(step, F.col("cv") == F.col("eu")).select("cu", F.col("ev").alias("cv")).distinct()
+        new = checkpointed(grown.join(known, ["cu", "cv"], "left_anti"))
         if new.isEmpty():
             return known
         known = known.unionByName(new)
@@ -176,6 +186,32 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
             known = checkpointed(known)
 
 
+def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(u, v): v can be reached from u, of ``starts`` if given. Pairs of a node with itself only where it links to itself.
+
+    Only pairs of strongly connected components are searched and kept. Their
+    nodes, in arrays of about ``CHUNK``, become pairs when the result is read,
+    so the disk holds no row for each pair.
+    """
+    step, member, dag = condensed(edges)
+    loops = step.where("source = target").select(F.col("source").alias("u"), F.col("target").alias("v"))
+    first = member
+    if starts is not None:
+        start = starts.select(F.col(starts.columns[0]).alias("node")).distinct()
+        first, loops = checkpointed(member.join(start, "node", "left_semi")), loops.join(start.toDF("u"), "u", "left_semi")
+    inside = member.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("c").alias("cu"), F.col("c").alias("cv"))
+    pairs = _between(dag, None if starts is None else first.select(F.col("c").alias("cu")).distinct()).unionByName(inside)
+
+    def chunks(nodes: DataFrame, c: str, name: str) -> DataFrame:
+        sizes = nodes.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n"))
+        part = F.pmod(F.xxhash64("node"), F.col("n")).alias(f"{name}_part")
+        return nodes.join(sizes, "c").groupBy(F.col("c").alias(c), part).agg(F.collect_list("node").alias(name))
+
+    met = pairs.join(chunks(first, "cu", "us"), "cu").join(chunks(member, "cv", "vs"), "cv")
+    met = met.repartition("cu", "us_part", "cv", "vs_part")  # or one task would write out all pairs of a component
+    return met.select(F.explode("us").alias("u"), "vs").select("u", F.explode("vs").alias("v")).where("u <> v").unionByName(loops)
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Without the edges of nodes that nothing leads to or that lead nowhere, round by round."""
     n = edges.count()
@@ -223,8 +259,16 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def closes_cycle(new: DataFrame, edges: DataFrame) -> DataFrame:
-    """New edges that would close a cycle, searched from their targets alone."""
-    return rejected_by_cycle_guard(new, closure(edges, new.select("target")))
+    """New edges that would close a cycle: self links, and those whose target already reaches the source.
+
+    Asked of components, from those of the targets alone; no pair of nodes is made but the new edges.
+    """
+    _, member, dag = condensed(edges)
+    asked = new.where("source <> target").join(member.toDF("target", "_cu"), "target").join(member.toDF("source", "_cv"), "source").select(*new.columns, "_cu", "_cv")
+    asked = checkpointed(asked)
+    reached = _between(dag, asked.where("_cu <> _cv").select(F.col("_cu").alias("cu")).distinct()).toDF("_cu", "_cv")
+    far = asked.where("_cu <> _cv").join(reached, ["_cu", "_cv"], "left_semi")
+    return new.where("source = target").unionByName(asked.where("_cu = _cv").unionByName(far).select(*new.columns))
 
 
 def rejected_by_cycle_guard(new: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -412,3 +412,27 @@ def test_stream_counts_end_where_the_sql_does(spark, tmp_path):
     want = con.sql(ORACLE_SQL["rate_limit_stream"])
     got = QUERIES["rate_limit_stream"](spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) == 3
+
+
+def test_closure_keeps_components_not_pairs(spark, monkeypatch):
+    """Two stars of links both ways, one after the other: no table on disk has more rows than there are edges, of 1201 pairs."""
+    star = lambda a, n: [x for i in range(1, n) for x in ((a, a + i), (a + i, a))]
+    rows = [*star(0, 20), *star(100, 20), (3, 107), (107, 107), (119, 500)]
+    make = lambda rows: spark.createDataFrame(rows, "source long, target long")
+    kept, whole = [], graph.checkpointed
+
+    def watched(df):
+        out = whole(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "checkpointed", watched)
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    got = [tuple(r) for r in graph.closure(make(rows)).collect()]
+    a, b = range(20), range(100, 120)
+    want = {(u, v) for s in (a, b) for u in s for v in s if u != v} | {(u, v) for u in a for v in b} | {(u, 500) for u in [*a, *b]} | {(107, 107)}
+    assert len(got) == len(want) and set(got) == want and max(kept) <= len(rows)
+    new = [(500, 0), (100, 3), (0, 100), (0, 0), (5, 9), (7, 500), (500, 7), (900, 1)]
+    closed = {tuple(r) for r in graph.closes_cycle(make(new), make(rows)).collect()}
+    assert closed == {(s, t) for s, t in new if s == t or (t, s) in want} and max(kept) <= len(rows)
+    assert {tuple(r) for r in graph.closure(make(rows), spark.createDataFrame([(3,), (107,)], "n long")).collect()} == {p for p in want if p[0] in (3, 107)}
